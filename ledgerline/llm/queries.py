@@ -23,6 +23,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.packing import pack, pieces
+
+    return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=1), capacity=2048)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
