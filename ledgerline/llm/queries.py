@@ -23,6 +23,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), w=3, num=85, den=100, bands=24)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.packing import pack, pieces
 
