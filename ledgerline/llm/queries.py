@@ -35,6 +35,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=1), capacity=2048)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.suffix import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.media import media_digests
 
