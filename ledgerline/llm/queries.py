@@ -29,6 +29,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), w=3, num=85, den=100, bands=24)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.pii import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.packing import pack, pieces
 
