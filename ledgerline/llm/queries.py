@@ -29,18 +29,39 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), w=3, num=85, den=100, bands=24)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.lines import drop_repeated_lines
+
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.pii import personal_spans
 
     return personal_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.secrets import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.packing import pack, pieces
 
@@ -64,4 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerline.llm import lines
+
+    return {"op2_line_dedup": lines.SQL}
