@@ -20,7 +20,6 @@ result. The operator that filters keeps all columns.
 
 from __future__ import annotations
 
-import math
 import string
 
 import numpy as np
@@ -36,6 +35,8 @@ from ledgerline.llm.common import U, materialize, mix64, release, slices
 SAMPLE, WORDS, PAIRS, SHARPNESS, FLOOR = 20_000, 1 << 17, 1 << 15, 4.0, -3.0
 #: Log ratios are moved this far towards 0, as small ones add up over a long text.
 SMALL = 0.5
+#: The likelihood-ratio statistic that chance alone is taken to reach; one in about 2,000 buckets does.
+CHANCE = 12.0
 MEMO = 300_000
 _AROUND = string.punctuation + "«»„“”‘’…–—¿¡"
 _USUAL = frozenset(["", ".", ",", "?", "!", ":", ";", '"', "'", "-", ")", "("])
@@ -82,7 +83,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
             continue
         e = r * (t.sum() / r.sum())
         g = 2 * (np.where(t > 0, t * np.log(np.maximum(t, 1) / np.maximum(e, 1e-9)), 0) - (t - e))
-        shrink = np.maximum(0, 1 - 2 * math.log(BUCKETS) / np.maximum(g, 1e-9))
+        shrink = np.maximum(0, 1 - CHANCE / np.maximum(g, 1e-9))
         ratio = np.log((t + 1) / (e + 1)) * shrink
         out[begin:end] = np.sign(ratio) * np.maximum(np.abs(ratio) - SMALL, 0)
     return out
