@@ -1,9 +1,279 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries of the engine over the driver's tables, and their SQL for DuckDB.
 
+Two tables are read as operation logs: events (key user, deleted by errors) and orders (key customer,
+deleted by status F). part gives sorted entries for blocks. Keys are shown as text.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.functions import binary
+from ledgerline.operators import blocks, bloom, compact, lookup, resolve
+from ledgerline.schema import L1_ENTRIES, operations, puts
+from ledgerline.sources import log
+
+RUN_OPS = 1000
+FILE_ENTRIES = 100
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "events")
+    return operations(t, "event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")), "props", F.col("event_type") == "error")
+
+
+def order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "orders")
+    return operations(t, "o_orderkey", F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")), "o_orderpriority", F.col("o_orderstatus") == "F")
+
+
+def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "part")
+    ops = puts(t, "p_partkey", F.lpad(F.col("p_partkey").cast("string"), 10, "0"), "p_type")
+    return ops.select("key", F.lit(False).alias("is_tombstone"), "value", "seq", F.floor(F.col("seq") / RUN_OPS).cast("long").alias("run"))
+
+
+def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, and as many keys that never occur."""
+    t = _table(spark, sf_dir, "customer")
+    key = lambda add: t.select(F.concat(F.lit("cust_"), (F.col("c_custkey") + add).cast("string")).cast("binary").alias("key"))
+    return key(0).unionAll(key(10_000_000))
+
+
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns or ("key", "value")})
+
+
+def _runs(ops: DataFrame) -> DataFrame:
+    return resolve.latest(ops.withColumn("run", F.floor(F.col("seq") / RUN_OPS).cast("long")), "run")
+
+
+def snapshot_events(spark, sf_dir):
+    return _shown(resolve.snapshot(event_ops(spark, sf_dir)))
+
+
+def snapshot_orders(spark, sf_dir):
+    return _shown(resolve.snapshot(order_ops(spark, sf_dir)))
+
+
+def snapshot_as_of(spark, sf_dir):
+    return _shown(resolve.snapshot(order_ops(spark, sf_dir), as_of=5000))
+
+
+def tombstone_list(spark, sf_dir):
+    return _shown(resolve.tombstones(order_ops(spark, sf_dir)), "key")
+
+
+def memtable_stats(spark, sf_dir):
+    return resolve.memtable_bytes(resolve.latest(event_ops(spark, sf_dir)))
+
+
+def run_stats(spark, sf_dir):
+    return _shown(resolve.run_statistics(_runs(event_ops(spark, sf_dir))), "smallest_key", "largest_key")
+
+
+def run_recency(spark, sf_dir):
+    """Runs with alternating levels, in order of age."""
+    runs = resolve.run_statistics(_runs(order_ops(spark, sf_dir))).select((F.col("run") % 2).cast("int").alias("level"), F.floor(F.col("run") / 2).cast("long").alias("counter"), "n_entries")
+    return resolve.recency(runs)
+
+
+def newest_run_wins(spark, sf_dir):
+    entries = _runs(order_ops(spark, sf_dir)).withColumnRenamed("run", "run_rank")
+    return _shown(resolve.live(resolve.merge_ranked(entries)))
+
+
+def level_counts(spark, sf_dir):
+    runs = resolve.run_statistics(_runs(order_ops(spark, sf_dir)))
+    return runs.groupBy((F.col("run") % 2).cast("int").alias("level")).agg(F.count("*").alias("n_runs"), (F.max(F.floor(F.col("run") / 2)) + 1).cast("long").alias("next_counter"))
+
+
+def compaction_files(spark, sf_dir):
+    numbered = compact.number_files(compact.compacted([_runs(order_ops(spark, sf_dir)).drop("run")]), FILE_ENTRIES)
+    stats = resolve.run_statistics(numbered, "file").drop("n_tombstones")
+    return _shown(stats, "smallest_key", "largest_key")
+
+
+def point_get(spark, sf_dir):
+    return _shown(lookup.get(resolve.snapshot(order_ops(spark, sf_dir)), b"cust_7"), "value")
+
+
+def multi_get(spark, sf_dir):
+    return _shown(lookup.multi_get(customer_keys(spark, sf_dir), resolve.snapshot(order_ops(spark, sf_dir))))
+
+
+def missing_keys(spark, sf_dir):
+    return _shown(lookup.missing(customer_keys(spark, sf_dir), resolve.snapshot(order_ops(spark, sf_dir))), "key")
+
+
+def range_scan(spark, sf_dir):
+    return _shown(lookup.scan(resolve.snapshot(order_ops(spark, sf_dir)), b"cust_2", b"cust_5"))
+
+
+def prefix_scan(spark, sf_dir):
+    return _shown(lookup.prefix(resolve.snapshot(order_ops(spark, sf_dir)), b"cust_10"))
+
+
+def probed_runs(spark, sf_dir):
+    runs = resolve.run_statistics(_runs(order_ops(spark, sf_dir)))
+    return _shown(lookup.probed_runs(customer_keys(spark, sf_dir), runs), "key")
+
+
+def log_layout(spark, sf_dir):
+    return log.layout(event_ops(spark, sf_dir)).select("seq", "offset", "length")
+
+
+def log_record_sizes(spark, sf_dir):
+    encoded = log.encoded(event_ops(spark, sf_dir))
+    return encoded.select("seq", F.octet_length("record").cast("long").alias("record_bytes"))
+
+
+def log_round_trip(spark, sf_dir):
+    """Operations encoded by column functions, decoded by recovery's rules and resolved again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(s, o, k, v) for s, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, o, k, v in log.decode(r)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int8(), pa.binary(), pa.binary()))], names=["seq", "op", "key", "value"])
+
+    back = log.encoded(event_ops(spark, sf_dir)).mapInArrow(run, "seq long, op byte, key binary, value binary")
+    return _shown(resolve.snapshot(back))
+
+
+def run_names(spark, sf_dir):
+    runs = resolve.run_statistics(_runs(order_ops(spark, sf_dir)))
+    name = F.format_string("sst-%d-%06d.sst", (F.col("run") % 2).cast("int"), F.floor(F.col("run") / 2).cast("long"))
+    named = runs.select(name.alias("name"))
+    return named.select("name", binary.run_level(F.col("name")).alias("level"), binary.run_counter(F.col("name")).alias("counter"))
+
+
+def entry_blocks(spark, sf_dir):
+    index = blocks.block_index(blocks.form_blocks(part_entries(spark, sf_dir)))
+    return _shown(index, "first_key")
+
+
+def block_lookup(spark, sf_dir):
+    entries = part_entries(spark, sf_dir)
+    index = blocks.block_index(blocks.form_blocks(entries))
+    return _shown(blocks.locate(entries.select("run", "key"), index), "key")
+
+
+def filter_check(spark, sf_dir):
+    """Every run's filter against the run's own keys: none may be missed."""
+    entries = part_entries(spark, sf_dir)
+    filters = bloom.build_filters(entries)
+    probed = entries.join(filters.select("run", "filter"), "run").withColumn("hit", bloom.probe(F.col("key"), F.col("filter")))
+    return probed.groupBy("run").agg(F.count("*").alias("n_keys"), F.count_if(~F.col("hit")).alias("n_missed"))
+
+
+def filter_sizes(spark, sf_dir):
+    filters = bloom.build_filters(part_entries(spark, sf_dir))
+    return filters.select("run", "n_keys", (F.octet_length("filter") / 64).cast("long").alias("n_blocks"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder and folder.startswith("file:"):
+        folder = folder.split(":", 1)[1].replace("//", "/", 1)
+        os.makedirs(folder, exist_ok=True)
+    return tempfile.mkdtemp(prefix="store-", dir=folder if folder and folder.startswith("/") else None)
+
+
+def store_snapshot(spark, sf_dir):
+    """The orders written to a store in five flushed batches, so compacted once, then read."""
+    from ledgerline.store import Store
+
+    ops = order_ops(spark, sf_dir)
+    last = ops.agg(F.max("seq")).first()[0] or 0
+    with Store(spark, _scratch(spark)) as store:
+        for i in range(5):
+            store.apply(ops.filter((F.col("seq") > (last * i // 5 if i else -1)) & (F.col("seq") <= last * (i + 1) // 5)))
+            store.flush()
+        return _shown(store.snapshot())
+
+
+def stream_snapshot(spark, sf_dir):
+    """The events as a stream of files into a store."""
+    from ledgerline.store import Store
+    from ledgerline.streaming.ingest import into_store
+
+    folder = _scratch(spark)
+    event_ops(spark, sf_dir).repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("seq long, op byte, key binary, value binary").parquet(f"{folder}/in")
+    with Store(spark, f"{folder}/store") as store:
+        into_store(stream, store, f"{folder}/checkpoint").awaitTermination()
+        return _shown(store.snapshot())
+
+
+_NAMES = "snapshot_events snapshot_orders snapshot_as_of tombstone_list memtable_stats run_stats run_recency newest_run_wins level_counts compaction_files point_get multi_get missing_keys range_scan prefix_scan probed_runs log_layout log_record_sizes log_round_trip run_names entry_blocks block_lookup filter_check filter_sizes store_snapshot stream_snapshot".split()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: globals()[name] for name in _NAMES}
+
+
+_EVENTS = "SELECT event_id AS seq, 'user_' || user_id AS k, event_type = 'error' AS gone, CASE WHEN event_type <> 'error' THEN coalesce(props, '') END AS v FROM events"
+_ORDERS = "SELECT o_orderkey AS seq, 'cust_' || o_custkey AS k, o_orderstatus = 'F' AS gone, CASE WHEN o_orderstatus <> 'F' THEN coalesce(o_orderpriority, '') END AS v FROM orders"
+_PARTS = f"SELECT p_partkey AS seq, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS k, p_type AS v, p_partkey // {RUN_OPS} AS run FROM part"
+_KEYS = "SELECT 'cust_' || c_custkey AS key FROM customer UNION ALL SELECT 'cust_' || (c_custkey + 10000000) FROM customer"
+
+
+def _latest(ops: str, by: str = "", where: str = "true") -> str:
+    part = f"{by}, k" if by else "k"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY seq DESC) AS n FROM ({ops}) WHERE {where}) WHERE n = 1"
+
+
+def _in_runs(ops: str) -> str:
+    return _latest(f"SELECT *, seq // {RUN_OPS} AS run FROM ({ops})", "run")
+
+
+def oracle_sql() -> dict[str, str]:
+    live = lambda ops, where="true": f"SELECT k AS key, v AS value FROM ({_latest(ops, where=where)}) WHERE NOT gone"
+    orders, stats = live(_ORDERS), lambda ops: f"SELECT run, count(*) AS n_entries, count(*) FILTER (WHERE gone) AS n_tombstones, min(k) AS smallest_key, max(k) AS largest_key FROM ({_in_runs(ops)}) GROUP BY run"
+    by_run = stats(_ORDERS)
+    fold = f"""
+WITH RECURSIVE e AS (SELECT run, k, 9 + strlen(k) + strlen(v) AS bytes, row_number() OVER (PARTITION BY run ORDER BY k) AS i FROM ({_PARTS})),
+f AS (SELECT run, k, bytes, i, CAST(0 AS BIGINT) AS b, CAST(bytes AS BIGINT) AS filled, CAST(0 AS BIGINT) AS pos FROM e WHERE i = 1
+      UNION ALL
+      SELECT e.run, e.k, e.bytes, e.i, f.b + CASE WHEN f.filled >= 4096 THEN 1 ELSE 0 END,
+             CASE WHEN f.filled >= 4096 THEN 0 ELSE f.filled END + e.bytes, f.pos + f.bytes
+      FROM f JOIN e ON e.run = f.run AND e.i = f.i + 1)"""
+    return {
+        "snapshot_events": live(_EVENTS),
+        "snapshot_orders": orders,
+        "snapshot_as_of": live(_ORDERS, "seq <= 5000"),
+        "tombstone_list": f"SELECT k AS key, seq FROM ({_latest(_ORDERS)}) WHERE gone",
+        "memtable_stats": f"SELECT count(*) AS entries, CAST(coalesce(sum(strlen(k) + 8 + coalesce(strlen(v), 0)), 0) AS BIGINT) AS bytes, count(*) FILTER (WHERE gone) AS tombstones FROM ({_latest(_EVENTS)})",
+        "run_stats": stats(_EVENTS),
+        "run_recency": f"SELECT *, row_number() OVER (ORDER BY level DESC, counter) AS run_rank FROM (SELECT CAST(run % 2 AS INTEGER) AS level, run // 2 AS counter, n_entries FROM ({by_run}))",
+        "newest_run_wins": orders,
+        "level_counts": f"SELECT CAST(run % 2 AS INTEGER) AS level, count(*) AS n_runs, max(run // 2) + 1 AS next_counter FROM ({by_run}) GROUP BY 1",
+        "compaction_files": f"SELECT file, count(*) AS n_entries, min(key) AS smallest_key, max(key) AS largest_key FROM (SELECT key, (row_number() OVER (ORDER BY key) - 1) // {FILE_ENTRIES} AS file FROM ({orders})) GROUP BY file",
+        "point_get": f"SELECT value FROM ({orders}) WHERE key = 'cust_7'",
+        "multi_get": f"SELECT q.key, s.key IS NOT NULL AS found, s.value FROM ({_KEYS}) q LEFT JOIN ({orders}) s ON q.key = s.key",
+        "missing_keys": f"SELECT q.key FROM ({_KEYS}) q ANTI JOIN ({orders}) s ON q.key = s.key",
+        "range_scan": f"SELECT * FROM ({orders}) WHERE key >= 'cust_2' AND key < 'cust_5' ORDER BY key",
+        "prefix_scan": f"SELECT * FROM ({orders}) WHERE starts_with(key, 'cust_10') ORDER BY key",
+        "probed_runs": f"SELECT q.key, count(r.run) AS n_runs FROM ({_KEYS}) q LEFT JOIN ({by_run}) r ON r.smallest_key <= q.key AND q.key <= r.largest_key GROUP BY q.key",
+        "log_layout": f"SELECT seq, CAST(sum(n) OVER (ORDER BY seq) - n AS BIGINT) AS \"offset\", n AS length FROM (SELECT seq, (13 + strlen(k) + coalesce(strlen(v), 0) + 511) // 512 * 512 AS n FROM ({_EVENTS}))",
+        "log_record_sizes": f"SELECT seq, (13 + strlen(k) + coalesce(strlen(v), 0) + 511) // 512 * 512 AS record_bytes FROM ({_EVENTS})",
+        "log_round_trip": live(_EVENTS),
+        "run_names": f"SELECT printf('sst-%d-%06d.sst', run % 2, run // 2) AS name, run % 2 AS level, run // 2 AS counter FROM ({by_run})",
+        "entry_blocks": f"{fold} SELECT run, b AS block_id, min(k) AS first_key, min(pos) AS \"offset\", CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n_entries, CAST(min(pos) + sum(bytes) AS BIGINT) AS \"end\" FROM f GROUP BY run, b",
+        "block_lookup": f"{fold} SELECT run, k AS key, b AS block_id FROM f",
+        "filter_check": f"SELECT run, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_missed FROM ({_PARTS}) GROUP BY run",
+        "filter_sizes": f"SELECT run, count(*) AS n_keys, CAST(greatest(1, ceil(floor(-count(*) * ln(0.01) / (ln(2) * ln(2))) / 512)) AS BIGINT) AS n_blocks FROM ({_PARTS}) GROUP BY run",
+        "store_snapshot": orders,
+        "stream_snapshot": live(_EVENTS),
+    }
