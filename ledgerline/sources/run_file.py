@@ -1,4 +1,4 @@
-"""The sorted run file as a Spark data source: spark.read.format("runfile").load(path).
+"""The sorted run file as a Spark data source: register(spark), then spark.read.format("runfile").load(path).
 
 A file holds its entries in strictly ascending key order, an index of the first key of each block, a
 membership filter and a footer. The reader yields one partition per file; a filter on key for equality
@@ -174,3 +174,9 @@ class RunFileSource(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+
+def register(spark) -> None:
+    """Make the format "runfile" known, with filters handed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(RunFileSource)
