@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,12 +39,27 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/ledgerline/{os.getpid()}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished, unreferenced plans."""
-    spark.sparkContext._jvm.System.gc()
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give disk back between the steps of an operator: delete written tables that nothing reads any
+    more, and let Spark drop the shuffle files of finished plans, which it does when the driver's
+    garbage is collected."""
+    for table in tables:
+        _delete(spark, table.written_to)
+        del _written[table.written_to]
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def cleanup() -> None:
@@ -50,9 +67,7 @@ def cleanup() -> None:
     while _written:
         path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may already have ended
             if path.startswith("file://"):
                 import shutil
