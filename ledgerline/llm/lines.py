@@ -36,6 +36,8 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = materialize(windows, "windows")
     place = F.struct("doc", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written first, so that the join has plain inputs and Spark can split a very common window
+    first = materialize(first, "first")
     again = windows.join(first, ["h1", "h2"]).filter(F.col("first") != place)
     return materialize(again.groupBy("doc", "salt").agg(F.collect_set("at").alias("starts")), "starts")
 
