@@ -42,4 +42,6 @@ def number_files(entries: DataFrame, per_file: int = L1_ENTRIES, first: int = 0)
             yield pa.record_batch([*(batch.column(n) for n in keep), pa.array(files, pa.int64())], names=[*keep, "file"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
-    return ordered.mapInArrow(place, f"{ddl}, file long")
+    numbered = ordered.mapInArrow(place, f"{ddl}, file long")
+    numbered.held = ordered  # for unpersist() once it is written
+    return numbered

@@ -183,11 +183,16 @@ def filter_sizes(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which a store needs to be a POSIX path; in the machine's own
+    temporary folder only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder and folder.startswith("file:"):
         folder = folder.split(":", 1)[1].replace("//", "/", 1)
+    if folder and folder.startswith("/"):
         os.makedirs(folder, exist_ok=True)
-    return tempfile.mkdtemp(prefix="store-", dir=folder if folder and folder.startswith("/") else None)
+    if folder and not folder.startswith("/"):
+        raise ValueError(f"a store needs a POSIX path, not {folder}")
+    return tempfile.mkdtemp(prefix="store-", dir=folder or None)
 
 
 def store_snapshot(spark, sf_dir):

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import compact, lookup, resolve
 from ledgerline.schema import DEL, L0_RUNS, L1_ENTRIES, MEMTABLE_BYTES, OPS, PUT, RUN
+from ledgerline.sources import log
 
 
 class Store:
@@ -135,6 +136,11 @@ class Store:
     def write_many(self, rows: Iterable[tuple[int, bytes, bytes | None]]) -> None:
         self.apply(self._rows(rows))
 
+    def replay_log(self, path: str) -> None:
+        """Apply what recovery accepts of the binary logs under path, in file order, beyond the store's
+        own operations."""
+        self.apply(log.replay(log.recover(self.spark, path), after=self._state["seq"]))
+
     def flush(self) -> None:
         """Pending operations to a new run of level 0; nothing to do without any."""
         if not self._state["ops"]:
@@ -156,7 +162,7 @@ class Store:
         numbered = compact.number_files(entries, self.l1_entries, first)
         name = f"runs/L1-{first:06d}-{uuid.uuid4().hex}"
         numbered.write.partitionBy("file").parquet(os.path.join(self.path, name))
-        numbered.unpersist()
+        numbered.held.unpersist()
         merged = self.spark.read.schema(f"{_ddl()}, file long").parquet(os.path.join(self.path, name))
         made = [
             {"level": 1, "counter": r["file"], "path": name, "file": r["file"], "n_entries": r["n_entries"], "n_tombstones": 0, "smallest_key": r["smallest_key"].hex(), "largest_key": r["largest_key"].hex()}

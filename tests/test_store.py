@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from ledgerline import cli
 from ledgerline.operators import lookup
 from ledgerline.schema import DEL, OPS, PUT
+from ledgerline.sources import log
 from ledgerline.store import Store
 from ledgerline.streaming import ingest
 
@@ -137,6 +138,16 @@ def test_keyed_state_ignores_late_operations(spark, tmp_path):
     assert first == {b"a": (False, 5), b"b": (True, 6)} and second == {b"c": 2}
 
 
+def test_log_replay_and_truncation(spark, tmp_path):
+    path = str(tmp_path / "wal.log")
+    log.write_log(path, [(PUT, b"before", b"v")])
+    log.clear_log(path)
+    log.write_log(path, [(PUT, b"after", b"v"), (PUT, b"gone", b"v"), (DEL, b"gone", None)])
+    with Store(spark, str(tmp_path / "s")) as store:
+        store.replay_log(path)
+        assert held(store) == {b"after": b"v"}
+
+
 def test_shell(spark, tmp_path):
     said = []
     with Store(spark, str(tmp_path / "s")) as store:
