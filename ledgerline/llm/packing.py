@@ -6,8 +6,9 @@ by that hash, and cut into groups of at most GROUP pieces; each group is packed
 longest piece first, each into the first bin with room, found by descent in a tournament tree whose
 inner nodes hold the most room below them.
 
-Tokenizing works chunk by chunk, as white space separates and nothing merges across it; texts with
-characters outside a plain range, or with special strings, go whole through the library.
+Tokenizing works chunk by chunk, as white space separates and nothing merges across it; ids of chunks
+and words are kept, and plain words go to the library's merging alone, without its normalisation. Texts
+with characters outside a plain range, or with special strings, go whole through the library.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each for itself; a long
 text becomes many full sequences and a rest; ties fall to the smaller document; an empty table gives
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import documents, schema_of, slices
+from ledgerline.llm.token_counts import _byte_letters
 
-MEMO = 400_000
+MEMO = 600_000
 #: Pieces packed together at most.
 GROUP = 16_384
 #: Characters that normalisation leaves alone but for case, with the white space that separates.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*\\Z")
+#: A word of such letters, and a mark after it, which is a piece by itself.
+_WORD = re.compile("([a-zß-öø-ÿ]+)([.,]?)\\Z")
 
 
 class Ids:
@@ -45,6 +49,16 @@ class Ids:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.letters = [c for _, c in sorted((b, c) for c, b in _byte_letters().items())]
+        self.merge = self.library.model.tokenize
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word or mark, kept under the word."""
+        found = self.known.get(word)
+        if found is None:
+            spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+            found = self.known[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
+        return found
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,8 +68,13 @@ class Ids:
         if len(self.known) > MEMO:
             self.known.clear()
         known = self.known
-        new = list({c for cs in chunks if cs for c in cs if c not in known})
-        known.update(zip(new, self._encode(new), strict=True))
+        hard = []
+        for chunk in {c for cs in chunks if cs for c in cs if c not in known}:
+            if m := _WORD.match(chunk.lower()):
+                known[chunk] = self._word(m[1]) + self._word(m[2]) if m[2] else self._word(m[1])
+            else:
+                hard.append(chunk)
+        known.update(zip(hard, self._encode(hard), strict=True))
         return [(b"".join(map(known.__getitem__, cs)) if cs is not None else self._encode([t])[0]) + self.end for cs, t in zip(chunks, texts, strict=True)]
 
 
