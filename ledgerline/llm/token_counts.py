@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import documents, schema_of, slices
 
 #: Entries a worker keeps of what it has counted; the table is emptied beyond it.
-MEMO = 500_000
+MEMO = 1_000_000
 # Fixed value: the pattern that splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the split above and the library's own agree.
 _PLAIN = re.compile(r"[\x00-ԯ]*\Z")
 _SPACES = re.compile(r" \s* ")
+#: A chunk of plain letters, and a mark after them, which is a piece by itself.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -66,21 +68,16 @@ class PrefixCounter:
 
     def _merge(self, data: bytes) -> list[int]:
         """Plain merging, for short strings only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.ranks:
-                break
-            i, out = 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        parts, rank, never = [data[i : i + 1] for i in range(len(data))], self.ranks.get, 1 << 60
+        order = [rank(pair, never) for pair in zip(parts, parts[1:])]  # noqa: B905
+        while order and (least := min(order)) < never:
+            at = order.index(least)  # equal pairs further on come next
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = rank((parts[at - 1], parts[at]), never)
+            if at < len(order):
+                order[at] = rank((parts[at], parts[at + 1]), never)
         return [self.ids[p] for p in parts]
 
     def _stands(self, left: int, right: int) -> bool:
@@ -132,7 +129,17 @@ class PrefixCounter:
             for chunk in rest:
                 n = known.get(chunk)
                 if n is None:
-                    n = known[chunk] = self._chunk(" " + chunk)
+                    m = _WORD.match(chunk)
+                    if m is None:
+                        n = self._chunk(" " + chunk)
+                    else:
+                        word = m[1]
+                        n = known.get(word) if m[2] else None
+                        if n is None:
+                            n = known[word] = self.prefixes(b" " + word.encode())[-1]
+                        if m[2]:
+                            n += self.prefixes(m[2].encode())[-1]
+                    known[chunk] = n
                 total += n
         return total + self._chunk(first)
 
