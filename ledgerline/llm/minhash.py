@@ -8,16 +8,16 @@ hence the similarity, which at high similarities is sharper than comparing as ma
 samples themselves. Pairs whose estimate is far below the threshold are dropped, the others confirmed
 on the full sets.
 
-No bucket is expanded into all its pairs. First each member is paired with a few hubs of its bucket
-(the members least by some hash, found by a pre-aggregated minimum); confirmed pairs are links, and
-links make components. Then buckets that still hold more than one component are finished exactly: the
-members outside the bucket's main component are set against all members, in blocks of bounded size,
-and pairs of different components that pass the sketches are confirmed too. Pairs within a component
-need no look. So every link between candidates of any band is found or implied, for buckets of any
+No bucket is expanded into all its pairs. First each member is paired with two hubs of its bucket
+(members least by key and by a hash of bucket and key, found by pre-aggregated minima); confirmed pairs
+are links, and links make components. Then buckets that still hold more than one component are finished
+exactly: the members outside the bucket's main component are set against all members, in blocks of
+bounded size, and pairs of different components that pass finer odd sketches, made of more samples for
+these members alone, are confirmed too. Pairs within a component need no look. So every link between candidates of any band is found or implied, for buckets of any
 size, and no block outgrows a task.
 
 With similarity s a band matches with probability s^r; at 0.85, r = 4 and 24 bands a link has no
-bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The sketch cut lies six standard
+bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The sketch cut lies five standard
 deviations below the threshold.
 
 Cases: null and empty texts, and texts without words, have n_shingles 0, are linked with nothing and
@@ -42,12 +42,14 @@ from ledgerline.llm.graph import components
 
 #: Word hashes a worker keeps; emptied beyond it.
 MEMO = 400_000
-#: Samples, and bits of an odd sketch.
+#: Samples, and bits of an odd sketch; and of the finer one for crowded buckets.
 SAMPLES, BITS = 128, 512
+FINE_SAMPLES, FINE_BITS = 2048, 8192
 ROWS = 4
 #: Members of a bucket in one block.
 BLOCK = 256
-HUBS = 3
+#: Standard deviations below the threshold at which sketches drop a pair.
+SPREAD = 5
 
 
 class _Hashes(dict):
@@ -77,31 +79,31 @@ def shingles(text: str, w: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    base = mix64(np.arange(1, 2 * SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-    return (base[:SAMPLES] >> U(32)).astype(np.uint32), (base[SAMPLES:] >> U(32)).astype(np.uint32) | np.uint32(1)
+def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = mix64(np.arange(1, 2 * n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+    return (base[:n] >> U(32)).astype(np.uint32), (base[n:] >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
-def samples(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash samples of non-empty sets, one row each."""
-    flip, times = _seeds()
+def samples(sets: list[np.ndarray], n: int = SAMPLES) -> np.ndarray:
+    """n MinHash samples of non-empty sets, one row each."""
+    flip, times = _seeds(n)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     flat = (np.concatenate(sets) >> U(32)).astype(np.uint32)
-    work, out = np.empty_like(flat), np.empty((len(sets), SAMPLES), np.uint32)
-    for k in range(SAMPLES):
+    work, out = np.empty_like(flat), np.empty((len(sets), n), np.uint32)
+    for k in range(n):
         np.bitwise_xor(flat, flip[k], out=work)
         np.multiply(work, times[k], out=work)
         out[:, k] = np.minimum.reduceat(work, starts)
     return out
 
 
-def odd_sketches(mins: np.ndarray) -> np.ndarray:
+def odd_sketches(mins: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parity bitmaps of rows of samples, as signed 64-bit words."""
     n = len(mins)
-    bit = mix64(mins.astype(U) + (np.arange(SAMPLES, dtype=U) << U(32))) % U(BITS)
-    at = np.arange(n)[:, None] * BITS + bit.astype(np.int64)
-    odd = (np.bincount(at.ravel(), minlength=n * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, BITS), axis=1).view(np.int64)
+    bit = mix64(mins.astype(U) + (np.arange(mins.shape[1], dtype=U) << U(32))) % U(bits)
+    at = np.arange(n)[:, None] * bits + bit.astype(np.int64)
+    odd = (np.bincount(at.ravel(), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
 
 
 def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
@@ -112,10 +114,12 @@ def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def most_bits(similarity: float) -> int:
-    """The XOR population count to expect six standard deviations below a similarity."""
-    low = similarity - 6 * math.sqrt(similarity * (1 - similarity) / SAMPLES)
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * (2 * SAMPLES * (1 - low)) / BITS)))
+def most_bits(similarity: float, samples_: int = SAMPLES, bits: int = BITS) -> int:
+    """The XOR population count to expect SPREAD standard deviations below a similarity. The deviation
+    is that of the samples and, much smaller, that of flips which meet in one bit."""
+    apart = 2 * samples_ * (1 - similarity)
+    apart += SPREAD * math.sqrt(4 * samples_ * similarity * (1 - similarity) + apart**2 / bits)
+    return math.ceil(bits / 2 * (1 - math.exp(-2 * apart / bits)))
 
 
 _SIGS = schema_of(("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())))
@@ -189,56 +193,79 @@ def _texts(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
     return found.groupBy("key").agg(F.min("text").alias("text"))
 
 
-def _blocks(shared: DataFrame, labels: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from buckets that hold several."""
+def _fine(texts: DataFrame, w: int) -> DataFrame:
+    """key and the finer odd sketch of each text."""
+
+    def run(batches):
+        for part in slices(batches, rows=128):
+            mins = samples([shingles(t, w) for t in part.column(1).to_pylist()], FINE_SAMPLES)
+            yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in odd_sketches(mins, FINE_BITS)], pa.binary())], names=["key", "fine"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, fine binary")
+
+
+def _blocks(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, w: int, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from buckets that hold several. The finer
+    sketches decide, so that few pairs below the threshold are left to confirm."""
+    most = most_bits(similarity, FINE_SAMPLES, FINE_BITS)
     member = shared.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
     sizes = member.groupBy("band", "label").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    mixed = member.join(buckets, "band").join(classes.select("key", "bands", "sketch"), "key")
+    mixed = materialize(member.join(buckets, "band"), "mixed")
+    fine = _fine(texts.join(mixed.select("key").distinct(), "key"), w)
+    about = materialize(classes.select("key", "bands").join(fine, "key"), "fine")
+    full = mixed.join(about, "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks)
-    right = mixed.select("band", own.cast("long").alias("block"), F.lit(False).alias("outside"), "key", "label", "main", "bands", "sketch")
-    left = mixed.filter(F.col("label") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("outside"), "key", "label", "main", "bands", "sketch")
+    rest = ["key", "label", (F.col("label") == F.col("main")).alias("main"), "bands", "fine"]
+    right = full.select("band", own.cast("long").alias("block"), F.lit(False).alias("outside"), *rest)
+    left = full.filter(F.col("label") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("outside"), *rest)
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = right.unionByName(left).repartition(parts, "band", "block").sortWithinPartitions("band", "block", "outside")
 
-    def compare(rows: list[dict]) -> tuple[list[bytes], list[bytes]]:
-        inside, outside = [r for r in rows if not r["outside"]], [r for r in rows if r["outside"]]
+    def compare(block: pa.Table) -> tuple[list[bytes], list[bytes]]:
         out: tuple[list[bytes], list[bytes]] = ([], [])
-        if not inside or not outside:
+        outside = block.column("outside").to_numpy()
+        n = int(np.count_nonzero(~outside))
+        if n == 0 or n == len(outside):
             return out
-        sketches = np.array([r["sketch"] for r in inside], np.int64).view(U)
-        bands = np.array([r["bands"] for r in inside], np.int64)
-        number = {label: i for i, label in enumerate({r["label"] for r in rows})}
-        labels = np.array([number[r["label"]] for r in inside])
-        mine = np.flatnonzero(bands[0] == rows[0]["band"])[0]
-        for r in outside:
-            far = np.bitwise_count(sketches ^ np.array(r["sketch"], np.int64).view(U)).sum(axis=1)
+        keys, names = block.column("key").to_pylist(), block.column("label").to_pylist()
+        number = {label: i for i, label in enumerate(dict.fromkeys(names))}
+        labels = np.array([number[x] for x in names])
+        main = block.column("main").to_numpy()[:n]
+        sketches = np.frombuffer(b"".join(block.column("fine").to_pylist()), U).reshape(len(keys), -1)
+        bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        mine = int(np.flatnonzero(bands[0] == block.column("band")[0].as_py())[0])
+        for r in range(n, len(keys)):
             # a pair is looked at in the first band it shares
-            fits = (far <= most) & (labels != number[r["label"]]) & ~(bands[:, :mine] == np.array(r["bands"][:mine], np.int64)).any(axis=1)
-            for i in np.flatnonzero(fits).tolist():
-                other = inside[i]
-                if other["label"] == other["main"] or r["key"] < other["key"]:
-                    a, b = sorted((r["key"], other["key"]))
+            open_ = np.flatnonzero((labels[:n] != labels[r]) & ~(bands[:n, :mine] == bands[r, :mine]).any(axis=1))
+            near = open_[np.bitwise_count(sketches[open_] ^ sketches[r]).sum(axis=1) <= most]
+            for i in near.tolist():
+                if main[i] or keys[r] < keys[i]:
+                    a, b = sorted((keys[r], keys[i]))
                     out[0].append(a)
                     out[1].append(b)
         return out
 
     def run(batches):
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            a, b = compare(pa.Table.from_batches(held))
+            return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINKS)
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["band"], r["block"]) != (held[0]["band"], held[0]["block"]):
-                    a, b = compare(held)
+            band, block = batch.column("band").to_numpy(), batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if held and (held[0].column("band")[0].as_py(), held[0].column("block")[0].as_py()) != (band[i], block[i]):
+                    yield done()
                     held = []
-                    if a:
-                        yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINKS)
-                held.append(r)
+                held.append(batch.slice(i, j - i))
         if held:
-            a, b = compare(held)
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_LINKS)
+            yield done()
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,9 +281,9 @@ def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, ba
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = materialize(members.join(crowded, "band"), "shared")
     release(spark)
-    hub = [F.min("key")] + [F.min_by("key", F.xxhash64(F.lit(i), "key")) for i in range(1, HUBS)]
-    hubs = shared.groupBy("band").agg(*(h.alias(f"h{i}") for i, h in enumerate(hub)))
-    star = shared.join(hubs, "band").select("key", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HUBS))))).alias("hub"))
+    # the buckets of one large group each have a hub of their own, and all a common one
+    hubs = shared.groupBy("band").agg(F.min("key").alias("common"), F.min_by("key", F.xxhash64("band", "key")).alias("own"))
+    star = shared.join(hubs, "band").select("key", F.explode(F.array_distinct(F.array("common", "own"))).alias("hub"))
     star = star.filter("key != hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     sketch = classes.select("key", "sketch")
     word = lambda i: F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))))
@@ -268,7 +295,7 @@ def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, ba
     release(spark)
     links = materialize(_confirm(sifted, texts, w, num, den), "links")
     labels = components(links)
-    rest = _confirm(materialize(_blocks(shared, labels, classes, most), "rest"), texts, w, num, den)
+    rest = _confirm(materialize(_blocks(shared, labels, classes, texts, w, num / den), "rest"), texts, w, num, den)
     rest = materialize(rest, "links")
     if not rest.isEmpty():
         labels = components(links.union(rest))
