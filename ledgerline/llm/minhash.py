@@ -297,11 +297,15 @@ def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, ba
     labels = components(links)
     rest = _confirm(materialize(_blocks(shared, labels, classes, texts, w, num / den), "rest"), texts, w, num, den)
     rest = materialize(rest, "links")
+    of = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     if not rest.isEmpty():
-        labels = components(links.union(rest))
+        # these links join components, so only the components' labels go through the rounds again
+        ends = rest.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct()
+        wider = components(ends).toDF("label", "wider")
+        of = of.join(wider, "label", "left").select("key", "doc_id", F.coalesce("wider", "label").alias("label"))
     release(spark)
 
-    of = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = of.groupBy("label").agg(F.min("doc_id").alias("component"))
     found = of.join(least, "label").select("key", "component")
     return sigs.select("doc_id", "n_shingles", "key").join(found, "key", "left").select(
