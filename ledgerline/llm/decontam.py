@@ -1,38 +1,45 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-Test items are cut into words and word n-grams. A first pass counts, over all documents, in how many
-each of the items' n-grams occurs. In every window of a few neighbouring n-grams of an item the one
-in the fewest documents becomes a seed, so that each stretch of an item has one, however common the
-item itself is. A second pass looks the seeds up in each document; each hit joins a passage around it
-to the item, and the two are aligned by Smith-Waterman on words, which bears replaced, dropped and
-added words. A document is a copy of an item if the score reaches a share of the item's own.
-
-Nothing is shuffled but the counts. Items are taken in blocks of bounded size, each block against all
-documents, so what is sent to the tasks is bounded whatever the benchmark's size.
-
-Cases: null and empty texts or items match nothing; an item of fewer words than n is one n-gram by
-itself; words are compared without case and without punctuation around them; rows repeating an id are
-reported once per item; documents of any length are read whole; empty tables give an empty result;
-other columns are ignored.
+"""Benchmark decontamination: shared rare words, then local alignment.
+
+A document is a copy of an item if the Smith-Waterman score of their words, which bears replaced,
+dropped and added words, reaches a share of the item's own score, and that of N words in a row (an
+item of fewer words must be there whole). Whatever sifts before the alignment loses no copy:
+
+- An alignment of that score matches so many of the item's words that, whichever positions of the item
+  are left out, a number of the others must match, and its passage is of bounded length. So an item is
+  looked for by its words that are rarest in a sample of the documents, common ones left out, and only
+  where the needed number of them stand close enough together. What the sample says changes the cost,
+  never the result.
+- A passage's words that the item has gain a match at most, all others cost a gap at least.
+
+Passages that pass are aligned, those of one item together.
+
+Nothing is shuffled but the counts of the sample. Items are taken in blocks of bounded size, each block
+against all documents, so what is sent to the tasks is bounded whatever the benchmark's size. Long
+documents are read in pieces that overlap by more than an alignment's length.
+
+Cases: null and empty texts or items match nothing; words are compared without case and without
+punctuation around them; rows repeating an id are reported once per item; documents of any length are
+read whole; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, documents, mix64, schema_of, slices
+from ledgerline.llm.common import documents, schema_of, slices
 
-#: Words of items in a block at most (beyond one item), words in a seed, neighbours a seed is chosen from.
-BLOCK_WORDS, N, SPREAD = 500_000, 3, 4
+#: Words of items in a block at most (beyond one item), and words in a row a copy's score needs at least.
+BLOCK_WORDS, N = 500_000, 3
 #: The share of an item's own score that makes a copy.
 SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: The share of documents whose words are counted, words in a piece of a document, pairs of a word and an item held at once.
+SAMPLED, PIECE, PAIRS = 1 / 32, 20_000, 2_000_000
 MEMO = 300_000
 _AROUND = string.punctuation + "«»„“”‘’…–—¿¡"
 
@@ -42,39 +49,37 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """A block of test items: their words as numbers from 1 on, and their n-grams."""
+    """A block of test items: their words as numbers from 1 on, and the scores that make a copy."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         split = [words(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for ws in split]
-        self.grams = [self._grams(ws) for ws in self.words]
-        self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, U)]))
-        self.seeds: np.ndarray | None = None
-
-    @staticmethod
-    def _grams(ws: np.ndarray) -> np.ndarray:
-        n = min(N, len(ws))
-        h = np.full(max(0, len(ws) - n + 1) if n else 0, n, U)
-        for j in range(n):
-            h = mix64(h * U(0x9E3779B97F4A7C15) + ws[j : j + len(h)].astype(U))
-        return h
-
-    def sizes(self) -> list[int]:
-        return sorted({min(N, len(w)) for w in self.words if len(w)})
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Per item the seeds: the rarest n-gram of each window, the first of equals."""
-        places = defaultdict(list)
-        for item, grams in enumerate(self.grams):
-            rare = np.array([counts.get(int(g), 0) for g in grams])
-            width = min(SPREAD, len(grams))
-            for at in {b + int(rare[b : b + width].argmin()) for b in range(len(grams) - width + 1)} if len(grams) else ():
-                if rare[at]:
-                    places[int(grams[at])].append((item, at))
-        self.seeds = np.array(sorted(places), U)
-        self.places = dict(places)
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.maximum(np.ceil(SHARE * MATCH * size).astype(np.int64), MATCH * np.minimum(size, N))
+        # of score s and at most m matches, each worth MATCH, an alignment has at most MATCH * m - s other words
+        self.reach = size + MATCH * size - self.least
+        self.choose(np.zeros(len(self.vocabulary) + 1, np.int64))
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Per item the words to look for and how many of them any copy has, by the number of documents
+        each word occurs in; the number of items with it is added."""
+        counts = counts.copy()
+        for ws in self.words:
+            counts[np.unique(ws)] += 1
+        self.need, posts = np.ones(len(self.words), np.int64), []
+        for item, ws in enumerate(self.words):
+            matched = -(-int(self.least[item]) // MATCH)
+            self.need[item] = (matched + 1) // 2
+            rare = np.argsort(counts[ws], kind="stable")[: len(ws) - matched + int(self.need[item])]
+            own = np.unique(ws[rare])
+            posts.append(np.stack([own, np.full(len(own), item)]))
+        words_, items_ = np.concatenate([np.zeros((2, 0), np.int64), *posts], axis=1)
+        order = np.argsort(words_, kind="stable")
+        self.post_items = items_[order]
+        self.post_size = np.bincount(words_, minlength=len(self.vocabulary) + 1)
+        self.post_start = np.cumsum(self.post_size) - self.post_size
 
     def reader(self):
         """A function from texts to word numbers, 0 for words of no item."""
@@ -97,72 +102,91 @@ class Items:
 
         return read
 
-    def hits(self, ws: np.ndarray, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places in ws, and the n-grams there, that are wanted; for each n-gram size of the items."""
-        out = []
-        for n in self.sizes():
-            if len(ws) < n:
-                continue
-            all_known = ws[: len(ws) - n + 1] > 0
-            for j in range(1, n):
-                all_known &= ws[j : len(ws) - n + 1 + j] > 0
-            at = np.flatnonzero(all_known)
-            if not len(at):
-                continue
-            h = np.full(len(at), n, U)
-            for j in range(n):
-                h = mix64(h * U(0x9E3779B97F4A7C15) + ws[at + j].astype(U))
-            spot = np.searchsorted(wanted, h)
-            good = wanted[np.minimum(spot, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-            out.append((at[good], h[good]))
+    def passages(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """item, piece, begin and end in words of the passages that hold the needed words of an item, in
+        order of items. Whatever alignment makes a copy lies inside one passage."""
+        gap = int(self.reach.max(initial=0)) + 1
+        size = np.array([len(p) for p in pieces], np.int64)
+        start = np.cumsum(size + gap) - size - gap  # pieces are set apart by more than any reach
+        span = int((size + gap).sum()) + gap
+        flat = np.concatenate(pieces)
+        at = np.flatnonzero(self.post_size[flat])
+        word, place = flat[at], at + np.repeat(np.arange(len(pieces)) * gap, size)[at]
+        times = self.post_size[word]
+        ramp = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        key = self.post_items[np.repeat(self.post_start[word], times) + ramp] * span + np.repeat(place, times)
+        key.sort()
+        item = key // span
+        last = np.arange(len(key)) + self.need[item] - 1
+        near = np.flatnonzero(last < len(key))
+        near = near[key[last[near]] - key[near] < self.reach[item[near]]]
+        item, begin, end = item[near], key[last[near]] % span, key[near] % span
+        piece = np.searchsorted(start, end, side="right") - 1
+        begin = np.maximum(begin - self.reach[item] + 1 - start[piece], 0)
+        end = np.minimum(end + self.reach[item] - start[piece], size[piece])
+        first = np.ones(len(near), bool)
+        first[1:] = (item[1:] != item[:-1]) | (piece[1:] != piece[:-1]) | (begin[1:] > end[:-1])
+        first = np.flatnonzero(first)
+        return item[first], piece[first], begin[first], end[np.append(first[1:], len(near)) - 1] if len(first) else end
+
+    def copies(self, texts: list[np.ndarray]) -> dict[tuple[int, int], float]:
+        """The best score's share of each (text, item) of which the text holds a copy."""
+        overlap, out, held, pairs = int(self.reach.max(initial=0)), {}, [], 0
+        for number, ws in enumerate(texts):
+            for b in range(0, max(1, len(ws) - overlap), PIECE):
+                piece = ws[b : b + PIECE + overlap]
+                more = int(self.post_size[piece].sum())
+                if held and pairs + more > PAIRS:
+                    self._align(held, out)
+                    held, pairs = [], 0
+                held.append((number, piece))
+                pairs += more
+        if held:
+            self._align(held, out)
         return out
 
-    def copies(self, ws: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, best score's share, begin, end in words) of items that ws holds a copy of."""
-        spans = defaultdict(list)
-        for at, h in self.hits(ws, self.seeds):
-            for a, g in zip(at.tolist(), h.tolist(), strict=True):
-                for item, place in self.places[g]:
-                    m = len(self.words[item])
-                    slack = 8 + m // 4
-                    spans[item].append((max(0, a - place - slack), min(len(ws), a - place + m + slack)))
-        out = []
-        for item, found in spans.items():
-            target, best = self.words[item], None
-            own = np.unique(target)
-            merged: list[list[int]] = []
-            for b, e in sorted(found):
-                if merged and b <= merged[-1][1] and e - merged[-1][0] <= 4 * len(target) + 64:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([b, e])
-            for b, e in merged:
-                # no alignment scores more than all words of the passage that the item has
-                if np.isin(ws[b:e], own).sum() < SHARE * len(target):
-                    continue
-                score, end = align(target, ws[b:e])
-                if score >= SHARE * MATCH * len(target) and (best is None or score > best[0]):
-                    best = (score, b, b + end)
-            if best:
-                out.append((item, best[0] / (MATCH * len(target)), best[1], best[2]))
-        return out
+    def _align(self, held: list[tuple[int, np.ndarray]], out: dict[tuple[int, int], float]) -> None:
+        found = self.passages([p for _, p in held])
+        edges = np.flatnonzero(np.diff(found[0], prepend=-1, append=-1)) if len(found[0]) else []
+        gain = np.full(len(self.vocabulary) + 1, GAP)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            item = int(found[0][lo])
+            target, least = self.words[item], int(self.least[item])
+            gain[target] = MATCH
+            kept = []
+            for piece, b, e in zip(*(f[lo:hi].tolist() for f in found[1:]), strict=True):
+                passage = held[piece][1][b:e]
+                total = np.cumsum(gain[passage])
+                if (total - np.minimum(np.minimum.accumulate(total), 0)).max() >= least:
+                    kept.append((held[piece][0], passage))
+            gain[target] = GAP
+            if not kept:
+                continue
+            for (number, _), score in zip(kept, align(target, *(p for _, p in kept)).tolist(), strict=True):
+                if score >= least:
+                    out[number, item] = max(out.get((number, item), 0.0), score / (MATCH * len(target)))
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """The best local alignment score of two word sequences and where in b it ends. Word number 0
+def align(a: np.ndarray, *passages: np.ndarray) -> np.ndarray:
+    """The best local alignment score of a word sequence with each of the passages. Word number 0
     matches nothing."""
-    row, step = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1) * -GAP
-    best, end = 0, 0
+    # one row for all: each passage behind a place of its own that stays 0
+    starts = np.cumsum([0, *(len(p) + 1 for p in passages)])
+    b = np.zeros(starts[-1], np.int64)
+    for s, p in zip(starts, passages, strict=False):
+        b[s + 1 : s + 1 + len(p)] = p
+    # gaps along b: the running maximum of what each place can hand on, lifted at each passage's begin
+    # so that nothing is handed on from the one before
+    lift = np.repeat(np.arange(len(passages)) * (MATCH * len(a) + 1), np.diff(starts))
+    step = np.arange(len(b)) * -GAP + lift
+    row, best = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
     for w in a.tolist():
-        new = np.zeros(len(b) + 1, np.int64)
-        new[1:] = np.maximum(row[:-1] + np.where(b == w, MATCH, MISMATCH), row[1:] + GAP)
-        new = np.maximum(new, 0)
-        # gaps along b: the running maximum of what each place can hand on
-        row = np.maximum(np.maximum.accumulate(new + step) - step, 0)
-        top = int(row.argmax())
-        if row[top] > best:
-            best, end = int(row[top]), top
-    return best, end
+        new = np.maximum(row + GAP, 0)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(b[1:] == w, MATCH, MISMATCH))
+        new[starts[:-1]] = 0
+        row = np.maximum.accumulate(new + step) - step
+        np.maximum(best, row, out=best)
+    return np.maximum.reduceat(best, starts[:-1])
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str):
@@ -179,20 +203,21 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         yield Items(held)
 
 
-def _counts(docs: DataFrame, block: Items) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs. Each task adds up what it has read."""
+def _counts(docs: DataFrame, block: Items) -> np.ndarray:
+    """In how many documents of a sample each word of the block occurs. Each task adds up what it has read."""
 
     def run(batches):
-        read, total = block.reader(), np.zeros(len(block.known), np.int64)
+        read, total = block.reader(), np.zeros(len(block.vocabulary) + 1, np.int64)
         for part in slices(batches):
             for text in part.column(1).to_pylist():
-                for _, h in block.hits(read(text), block.known):
-                    total[np.searchsorted(block.known, np.unique(h))] += 1
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(block.known[at].view(np.int64)), pa.array(total[at])], names=["gram", "n"])
+                total[np.unique(read(text))] += 1
+        at = np.flatnonzero(total[1:]) + 1
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
-    rows = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most the block's n-grams
-    return {r["gram"] & (1 << 64) - 1: r["n"] for r in rows}
+    total = np.zeros(len(block.vocabulary) + 1, np.int64)
+    for r in docs.sample(SAMPLED, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the block's words
+        total[r["word"]] = r["n"]
+    return total
 
 
 _FOUND = schema_of(("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()))
@@ -207,7 +232,8 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def run(batches, block=block):
             read = block.reader()
             for part in slices(batches):
-                rows = [(d, block.ids[i], s) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, s, _, _ in block.copies(read(t))]
+                ids = part.column(0).to_pylist()
+                rows = [(ids[d], block.ids[i], s) for (d, i), s in block.copies([read(t) for t in part.column(1).to_pylist()]).items()]
                 yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
         found = docs.mapInArrow(run, "doc_id long, item_id long, score double")
@@ -229,8 +255,8 @@ def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         def run(batches, block=block):
             read = block.reader()
             for part in slices(batches):
-                clean = [not block.copies(read(t or "")) for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(clean, pa.bool_()))
+                copies = {d for d, _ in block.copies([read(t or "") for t in part.column(at).to_pylist()])}
+                yield part.filter(pa.array([d not in copies for d in range(part.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, schema)
     return out

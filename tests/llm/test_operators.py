@@ -201,6 +201,32 @@ def test_decontamination_finds_edited_copies(spark, empty):
     assert decontam.contaminated(empty, tests).count() == 0 and decontam.contaminated(df, tests.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    """Every 3rd to 6th word replaced, a word put in after every one or two, halves, short items, long
+    texts in pieces; many words are common, so that items share them."""
+    monkeypatch.setattr(decontam, "PIECE", 90)
+    monkeypatch.setattr(decontam, "PAIRS", 300)
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(150)]
+    say = lambda n: [vocabulary[int(150 * r.random() ** 2)] for _ in range(n)]
+    items = [(i, say(r.choice([15, 30, 40, 60]))) for i in range(12)] + [(20 + n, [f"u{n}{i}" for i in range(n)]) for n in range(1, 9)]
+    texts = [say(300) for _ in range(4)]
+    for _, ws in items:
+        texts += [say(70) + [w if i % k else "new" for i, w in enumerate(ws, 1)] + say(70) for k in (3, 4, 5, 6)]
+        texts += [say(9) + [x for i, w in enumerate(ws, 1) for x in ([w, "put"] if i % k == 0 else [w])] for k in (1, 2)]
+        texts += [ws[: len(ws) // 2 + more] + say(5) for more in (0, 1)]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, ws in items:
+            score = H.smith_waterman(ws, text)
+            if score >= max(len(ws), 2 * min(len(ws), 3)):
+                want[d, i] = score / (2 * len(ws))
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.contaminated(df, tests).collect()} == want
+    assert {x["doc_id"] for x in decontam.drop_contaminated(df, tests).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 # -- 7
 
 def test_first_fit_decreasing_equals_the_plain_loop():
