@@ -3,8 +3,9 @@
 Base spans always stay. Every other run of 16 or more secret-like characters that has a digit and a
 letter is a candidate. A small network written in numpy reads the candidate with its surrounding
 context and gives a logit: learned character vectors, one convolution, pooled inside and outside the
-candidate. It is trained on labelled findings: a seeded generator's secrets and harmless strings in
-typical contexts, and at most SAMPLE base findings of the corpus itself (those least by hash). On a
+candidate. Candidates longer than the network's window are read whole, in overlapping windows, and
+the greatest probability counts. It is trained on labelled findings: a seeded generator's secrets and
+harmless strings in typical contexts, windows of long runs with and without a secret, and at most SAMPLE base findings of the corpus itself (those least by hash). On a
 held-out fifth the logits are calibrated, and the threshold is the highest that keeps the required
 recall there.
 
@@ -27,8 +28,8 @@ from ledgerline.llm.common import documents, materialize, schema_of, slices
 KINDS = ("assign", "access", "hex")
 #: Corpus findings used in training at most, and the recall to keep on held-out findings.
 SAMPLE, RECALL = 2000, 0.95
-#: Characters read before, of and after a candidate.
-BEFORE, INSIDE, AFTER = 20, 44, 8
+#: Characters read before, of and after a candidate's window, and from one window to the next.
+BEFORE, INSIDE, AFTER, STEP = 20, 44, 8, 22
 WIDTH, VECTOR, KERNEL, FILTERS = BEFORE + INSIDE + AFTER, 12, 5, 24
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -58,7 +59,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes of a candidate in context: 0 for nothing, 1 beyond ASCII, then by code."""
+    """Character codes of a window in context: 0 for nothing, 1 beyond ASCII, then by code."""
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
     inside = text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
     after = text[end : end + AFTER].ljust(AFTER, "\0")
@@ -66,6 +67,16 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
     return np.where(codes == 0, 0, np.where((codes < 32) | (codes > 126), 1, codes - 30)).astype(np.uint8)
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The windows of a candidate: itself, or for a long one windows that overlap up to its end."""
+    return [(s, s + INSIDE) for s in range(start, end - INSIDE, STEP)] + [(max(start, end - INSIDE), end)]
+
+
+def encode_all(text: str, start: int, end: int) -> bytes:
+    """The codes of all windows of a candidate, one after the other."""
+    return b"".join(encode(text, s, e).tobytes() for s, e in windows(start, end))
+
+
 class Network:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
@@ -89,6 +100,12 @@ class Network:
     def probability(self, codes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(codes) + self.shift, -50, 50)))
 
+    def greatest(self, found: list[bytes]) -> np.ndarray:
+        """For each candidate, as encode_all() gives it, the greatest probability of its windows."""
+        codes = np.frombuffer(b"".join(found), np.uint8).reshape(-1, WIDTH)
+        sizes = np.array([len(c) // WIDTH for c in found])
+        return np.maximum.reduceat(self.probability(codes), np.cumsum(sizes) - sizes) if found else np.zeros(0)
+
     def _gradients(self, codes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         _, cols, h, inner, outer, pooled, z = self._forward(codes)
@@ -174,6 +191,40 @@ def findings(n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+def long_findings(n: int = 1200, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled windows of the generator's long runs: paths and joined names, every second with a secret
+    in it. The windows that hold most of the secret are secrets, those with nothing of it are harmless."""
+    r = np.random.default_rng(seed)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = lower + lower.upper() + digits
+    pick = lambda letters, k: "".join(r.choice(list(letters), k))
+    words = lambda k, sep: sep.join(pick("aeiourstnlmd", int(r.integers(3, 9))) for _ in range(k))
+    parts = [
+        lambda: words(1, ""), lambda: words(2, "-"), lambda: words(2, "_"), lambda: words(2, "."), lambda: pick(digits, int(r.integers(1, 6))),
+        lambda: f"v{r.integers(1, 20)}.{r.integers(0, 20)}", lambda: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}", lambda: pick(lower.upper(), 1) + pick(digits, 8),
+    ]
+    secrets = [lambda: pick(every, int(r.integers(24, 44))), lambda: pick("0123456789abcdef", int(r.integers(20, 24))), lambda: str(r.choice(["ghp_", "sk_live_", "glpat-"])) + pick(every, int(r.integers(20, 36)))]
+    join = lambda k, sep: sep.join(parts[int(r.integers(len(parts)))]() for _ in range(k))
+    x, y = [], []
+    for i in range(n):
+        sep = str(r.choice(["/", "/", "/", ".", "_", "-", "="]))
+        front, back, body = join(int(r.integers(3, 12)), sep) + sep, "", ""
+        if i % 2 == 0:
+            body = secrets[int(r.integers(len(secrets)))]()
+        if i % 2 or r.random() < 0.5:
+            back = sep + join(int(r.integers(1, 8)), sep)
+        text = words(2, " ") + " " + front + body + back + " " + words(2, " ")
+        start = text.index(front)
+        at = start + len(front)
+        spans = windows(start, start + len(front + body + back))
+        held = [min(e, at + len(body)) - max(s, at) if body else 0 for s, e in spans]
+        for (s, e), h in zip(spans, held, strict=True):
+            if h <= 0 or h == max(held):
+                x.append(encode(text, s, e))
+                y.append(float(h > 0))
+    return np.array(x), np.array(y)
+
+
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("codes", pa.binary())]))
 
 
@@ -184,7 +235,7 @@ def _propose(docs: DataFrame) -> DataFrame:
     def one(text: str) -> list[dict]:
         base = [(k, s, e) for k, spans in enumerate(base_spans(text)) for s, e in spans]
         more = [(3, s, e) for s, e in candidates(text) if all(e <= a or b <= s for _, a, b in base)]
-        return [{"kind": k, "start": s, "end": e, "codes": encode(text, s, e).tobytes()} for k, s, e in base + more]
+        return [{"kind": k, "start": s, "end": e, "codes": encode_all(text, s, e)} for k, s, e in base + more]
 
     def run(batches):
         for part in slices(batches):
@@ -204,9 +255,9 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(_propose(documents(df, id_col, text_col)), "candidates")
     each = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
     own = each.filter(F.col("kind").isin(1, 2)).select("codes", F.xxhash64("doc_id", "start", "kind").alias("o")).orderBy("o", "codes").limit(SAMPLE).collect()
-    x, y = findings()
+    x, y = (np.concatenate(both) for both in zip(findings(), long_findings(), strict=True))
     if own:
-        x = np.concatenate([x, np.array([np.frombuffer(r["codes"], np.uint8) for r in own])])
+        x = np.concatenate([x, np.array([np.frombuffer(r["codes"], np.uint8, WIDTH) for r in own])])
         y = np.concatenate([y, np.ones(len(own))])
     network = Network().fit(x, y)
     schema = schema_of(("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()))
@@ -215,7 +266,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for part in slices(batches):
             lists = part.column(1).to_pylist()
             open_ = [r["codes"] for rows in lists for r in rows if r["kind"] == 3]
-            said = iter(network.probability(np.array([np.frombuffer(c, np.uint8) for c in open_])) >= network.threshold) if open_ else iter(())
+            said = iter(network.greatest(open_) >= network.threshold)
             out = []
             for rows in lists:
                 base = [(r["start"], r["end"], KINDS[r["kind"]]) for r in rows if r["kind"] < 3]

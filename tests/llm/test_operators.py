@@ -141,6 +141,23 @@ def test_network_keeps_its_recall():
     assert network.recall >= secrets.RECALL and said[y == 1].mean() >= 0.9 and said[y == 0].mean() <= 0.05
 
 
+def test_long_candidates_are_read_whole(spark):
+    """A token behind, between and before paths of 60 characters and more, and paths without one."""
+    r = random.Random(14)
+    token = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    name = lambda: "".join(r.choice("aeiourstnlmd") for _ in range(r.randint(3, 8)))
+    path = lambda: "/".join(name() for _ in range(12)) + "/2024"
+    texts = [f"see //hooks.example.com/services/T00000000/B00000000/{token()} now" for _ in range(20)]
+    texts += [f"see {path()}/{token()} now" for _ in range(20)] + [f"see {path()}/{token()}/{path()} now" for _ in range(20)] + [f"see {token()}/{path()} now" for _ in range(20)]
+    texts += [f"see {path()}/{path()} now" for _ in range(40)]
+    assert secrets.windows(5, 40) == [(5, 40)] and secrets.windows(0, 100) == [(0, 44), (22, 66), (44, 88), (56, 100)]
+    found = {x["doc_id"]: x for x in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for kind in range(4):
+        assert sum(found[d]["n_added"] for d in range(20 * kind, 20 * kind + 20)) >= 18
+    assert sum(found[d]["n_added"] for d in range(80, 120)) <= 4
+    assert all(x["spans"] in ("", f"model:4:{len(texts[d]) - 4}") for d, x in found.items())
+
+
 # -- 4
 
 def test_quality_drops_what_the_target_never_says(spark, empty):
