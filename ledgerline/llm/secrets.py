@@ -7,7 +7,8 @@ candidate. Candidates longer than the network's window are read whole, in overla
 the greatest probability counts. It is trained on labelled findings: a seeded generator's secrets and
 harmless strings in typical contexts, windows of long runs with and without a secret, and at most SAMPLE base findings of the corpus itself (those least by hash). On a
 held-out fifth the logits are calibrated, and the threshold is the highest that keeps the required
-recall there.
+recall there on the generator's secrets, on short ones and on those in long runs alike. Base findings
+of the corpus have no say in it, as they stay whatever the network says.
 
 Cases: null and empty texts have no spans; an empty table gives an empty result; positions are code
 points; long texts are taken whole; repeated rows give repeated results; other columns are ignored.
@@ -128,8 +129,10 @@ class Network:
         np.add.at(dvec, codes.ravel(), (dx * (codes > 0)[:, :, None]).reshape(-1, VECTOR))
         return {"vec": dvec, "conv": cols.reshape(-1, KERNEL * VECTOR).T @ flat, "bias": flat.sum(0), "out": pooled.T @ dz, "b": dz.sum(keepdims=True)}
 
-    def fit(self, codes: np.ndarray, y: np.ndarray, epochs: int = 8, seed: int = 5) -> Network:
-        """Train on four fifths, calibrate and set the threshold on the rest."""
+    def fit(self, codes: np.ndarray, y: np.ndarray, epochs: int = 8, seed: int = 5, kinds: np.ndarray | None = None) -> Network:
+        """Train on four fifths, calibrate and set the threshold on the rest: the highest that keeps the
+        recall on each of the kinds from 0 on. Kinds below 0 are what the network doesn't decide."""
+        kinds = np.zeros(len(y), np.int64) if kinds is None else kinds
         r = np.random.default_rng(seed)
         order = r.permutation(len(y))
         held, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -148,9 +151,11 @@ class Network:
             e = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50))) - target
             self.scale -= 0.05 * ((e * z).mean() + 0.05 * (self.scale - 1))
             self.shift -= 0.05 * (e.mean() + 0.05 * self.shift)
-        good = np.sort(self.probability(codes[held])[target == 1])
-        self.threshold = float(good[int((1 - RECALL) * len(good))]) if len(good) else 0.5
-        self.recall = float((good >= self.threshold).mean()) if len(good) else 1.0
+        said = self.probability(codes[held])
+        good = [np.sort(said[(target == 1) & (kinds[held] == k)]) for k in np.unique(kinds[kinds >= 0])]
+        good = [g for g in good if len(g)]
+        self.threshold = min((float(g[int((1 - RECALL) * len(g))]) for g in good), default=0.5)
+        self.recall = min((float((g >= self.threshold).mean()) for g in good), default=1.0)
         return self
 
 
@@ -225,6 +230,13 @@ def long_findings(n: int = 1200, seed: int = 13) -> tuple[np.ndarray, np.ndarray
     return np.array(x), np.array(y)
 
 
+def trained(own: np.ndarray) -> Network:
+    """A network trained on the generator's findings and the codes of base findings."""
+    sets = [findings(), long_findings(), (own, np.ones(len(own)))]
+    kinds = np.repeat([0, 1, -1], [len(y) for _, y in sets])
+    return Network().fit(*(np.concatenate(both) for both in zip(*sets, strict=True)), kinds=kinds)
+
+
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("codes", pa.binary())]))
 
 
@@ -255,11 +267,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(_propose(documents(df, id_col, text_col)), "candidates")
     each = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
     own = each.filter(F.col("kind").isin(1, 2)).select("codes", F.xxhash64("doc_id", "start", "kind").alias("o")).orderBy("o", "codes").limit(SAMPLE).collect()
-    x, y = (np.concatenate(both) for both in zip(findings(), long_findings(), strict=True))
-    if own:
-        x = np.concatenate([x, np.array([np.frombuffer(r["codes"], np.uint8, WIDTH) for r in own])])
-        y = np.concatenate([y, np.ones(len(own))])
-    network = Network().fit(x, y)
+    network = trained(np.array([np.frombuffer(r["codes"], np.uint8, WIDTH) for r in own], np.uint8).reshape(-1, WIDTH))
     schema = schema_of(("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()))
 
     def run(batches):

@@ -141,6 +141,29 @@ def test_network_keeps_its_recall():
     assert network.recall >= secrets.RECALL and said[y == 1].mean() >= 0.9 and said[y == 0].mean() <= 0.05
 
 
+def test_base_findings_have_no_say_in_the_threshold(spark, monkeypatch):
+    """The recall holds on the generator's own held-out secrets, however many base findings there are."""
+    network, fit = [], secrets.Network.fit
+
+    def spy(self, codes, y, *args, **kwargs):
+        network.append((fit(self, codes, y, *args, **kwargs), codes, y))
+        return self
+
+    monkeypatch.setattr(secrets.Network, "fit", spy)
+    monkeypatch.setattr(secrets, "findings", lambda f=secrets.findings: f(400))
+    r = random.Random(15)
+    base = [(d, " ".join("".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(200))) for d in range(10)]
+    secrets.secret_spans(spark.createDataFrame(base, "doc_id long, text string"))
+    (got, codes, y), = network
+    order = np.random.default_rng(5).permutation(len(y))
+    held = order[: len(y) // 5]
+    long = 400 + len(secrets.long_findings()[1])
+    assert len(y) == long + secrets.SAMPLE
+    for lo, hi in ((0, 400), (400, long)):
+        own = held[(held >= lo) & (held < hi) & (y[held] == 1)]
+        assert (got.probability(codes[own]) >= got.threshold).mean() >= secrets.RECALL
+
+
 def test_long_candidates_are_read_whole(spark):
     """A token behind, between and before paths of 60 characters and more, and paths without one."""
     r = random.Random(14)
