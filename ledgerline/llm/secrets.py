@@ -1,7 +1,7 @@
 """Secrets: plain patterns, and a character convolutional network over every other candidate.
 
 Base spans always stay. Every other run of 16 or more secret-like characters that has a digit and a
-letter is a candidate. A small network written in numpy reads the candidate with its surrounding
+letter is a candidate; where base spans cover parts of a run, each part left over is one for itself. A small network written in numpy reads the candidate with its surrounding
 context and gives a logit: learned character vectors, one convolution, pooled inside and outside the
 candidate. Candidates longer than the network's window are read whole, in overlapping windows, and
 the greatest probability counts. It is trained on labelled findings: a seeded generator's secrets and
@@ -47,15 +47,23 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [assign, access, [m.span() for m in _HEX.finditer(text)]]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Secret-like runs, without what only ends or begins them."""
+def candidates(text: str, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Secret-like runs, without what only ends them and without the spans that are taken."""
     if not _DIGIT.search(text):
         return []
-    out = []
+    out, taken, at = [], sorted(taken), 0
     for m in _RUN.finditer(text):
-        run = m[0].rstrip(".=-")
-        if len(run) >= 16 and _DIGIT.search(run) and _LETTER.search(run):
-            out.append((m.start(), m.start() + len(run)))
+        begin, pieces = m.start(), []
+        while at < len(taken) and taken[at][0] < m.end():
+            pieces.append((begin, taken[at][0]))
+            begin = max(begin, taken[at][1])
+            if taken[at][1] > m.end():  # it may reach into the next run
+                break
+            at += 1
+        for s, e in [*pieces, (begin, m.end())]:
+            run = text[s:e].rstrip(".=-") if e - s >= 16 else ""
+            if len(run) >= 16 and _DIGIT.search(run) and _LETTER.search(run):
+                out.append((s, s + len(run)))
     return out
 
 
@@ -241,12 +249,12 @@ _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end"
 
 
 def _propose(docs: DataFrame) -> DataFrame:
-    """Base spans, and candidates (kind 3) that overlap none of them, each with its characters."""
+    """Base spans, and candidates (kind 3) in what they leave over, each with its characters."""
     schema = schema_of(("doc_id", pa.int64()), ("found", _FOUND))
 
     def one(text: str) -> list[dict]:
         base = [(k, s, e) for k, spans in enumerate(base_spans(text)) for s, e in spans]
-        more = [(3, s, e) for s, e in candidates(text) if all(e <= a or b <= s for _, a, b in base)]
+        more = [(3, s, e) for s, e in candidates(text, [(a, b) for _, a, b in base])]
         return [{"kind": k, "start": s, "end": e, "codes": encode_all(text, s, e)} for k, s, e in base + more]
 
     def run(batches):

@@ -141,6 +141,24 @@ def test_network_keeps_its_recall():
     assert network.recall >= secrets.RECALL and said[y == 1].mean() >= 0.9 and said[y == 0].mean() <= 0.05
 
 
+def test_what_base_spans_leave_of_a_run_is_a_candidate(spark):
+    token, key, hexes = "Zq7Rk2Wm9Xv4Lp8Tn3Bd6Hs1", "AKIA" + "Q7RK2WM9XV4LP8TN", "0123456789abcdef01234567"
+    text = f"see {key}/{token} and {token}X{hexes}Y{token} or {hexes} at the end"
+    left = [f"/{token}", f"{token}X", f"Y{token}"]
+    base = [s for spans in secrets.base_spans(text) for s in spans]
+    assert [text[s:e] for s, e in secrets.candidates(text, base)] == left
+    assert secrets.candidates(text) == [(s, s + len(w)) for w in (f"{key}/{token}", f"{token}X{hexes}Y{token}", hexes) for s in [text.index(w) if w != hexes else text.rindex(w)]]
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [x for x in row["spans"].split(",") if x.startswith("model")] == [f"model:{s}:{e}" for s, e in secrets.candidates(text, base)]
+    r = random.Random(16)
+    for _ in range(500):
+        text = "".join(r.choice(["a", "Z", "7", " ", "a1b2c3d4e5f6g7h8", key, hexes, "token=", "é"]) for _ in range(12))
+        base = [s for spans in secrets.base_spans(text) for s in spans]
+        free = [(s, e) for s, e in secrets.candidates(text, base)]
+        assert all(e <= a or b <= s for s, e in free for a, b in base) and len(set(free)) == len(free)
+        assert {c for c in secrets.candidates(text) if all(c[1] <= a or b <= c[0] for a, b in base)} <= set(free)
+
+
 def test_base_findings_have_no_say_in_the_threshold(spark, monkeypatch):
     """The recall holds on the generator's own held-out secrets, however many base findings there are."""
     network, fit = [], secrets.Network.fit
