@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, SparkSession] = {}
+_watching: list[list[str]] = []
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -24,9 +26,11 @@ MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in spark.checkpoint.dir; where that is
-    unset (tests on one machine) a temporary folder is named there."""
+    unset, driver and executors must be one process, and a temporary folder is named there."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
@@ -34,32 +38,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor loses nothing. The tables are removed when the driver ends, or by cleanup()."""
+    executor loses nothing. The shuffle files of the write go when it ends. The table goes with
+    release(), and at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{os.getpid()}-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _written[path] = spark
+    for seen in _watching:
+        seen.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back
 
 
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of what materialize() writes meanwhile."""
+    seen: list[str] = []
+    _watching.append(seen)
+    try:
+        yield seen
+    finally:
+        _watching.remove(seen)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Give disk back between the steps of an operator: delete written tables that nothing reads any
-    more, and let Spark drop the shuffle files of finished plans, which it does when the driver's
-    garbage is collected."""
+def release(*tables: DataFrame | str) -> None:
+    """Delete written tables, or their paths, that nothing reads any more."""
     for table in tables:
-        _delete(spark, table.written_to)
-        del _written[table.written_to]
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        path = table if isinstance(table, str) else table.written_to
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def reads(df: DataFrame, paths: list[str]) -> bool:
+    """Whether df's plan still reads one of the paths."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.append(leaf.relation().location().rootPaths().mkString("\n"))
+    own = {path.rsplit("/", 1)[1] for path in paths}
+    return any(name in text for name in own for text in found)
 
 
 def cleanup() -> None:

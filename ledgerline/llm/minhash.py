@@ -10,15 +10,18 @@ on the full sets.
 
 No bucket is expanded into all its pairs. First each member is paired with two hubs of its bucket
 (members least by key and by a hash of bucket and key, found by pre-aggregated minima); confirmed pairs
-are links, and links make components. Then buckets that still hold more than one component are finished
-exactly: the members outside the bucket's main component are set against all members, in blocks of
-bounded size, and pairs of different components that pass finer odd sketches, made of more samples for
-these members alone, are confirmed too. Pairs within a component need no look. So every link between candidates of any band is found or implied, for buckets of any
-size, and no block outgrows a task.
+are links, and links make components. Then buckets that still hold more than one component are finished:
+the members outside the bucket's main component are set against all members, and pairs of different
+components that pass finer odd sketches, made of more samples for these members alone, are confirmed
+too. A bucket too crowded for one block is first parted by bands of more of the finer samples, which
+members of similar texts still share; only what is crowded after two such levels is compared block by
+block. Pairs within a component need no look. So every link between candidates of any band is found or
+implied, for buckets of any size, and no block outgrows a task.
 
 With similarity s a band matches with probability s^r; at 0.85, r = 4 and 24 bands a link has no
-bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The sketch cut lies five standard
-deviations below the threshold.
+bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The further bands of crowded buckets
+miss one with 5e-12 at most (at 0.8: 6e-11 in the first level, 6e-6 in the second). The sketch cut lies
+five standard deviations below the threshold.
 
 Cases: null and empty texts, and texts without words, have n_shingles 0, are linked with nothing and
 are kept; with fewer words than w the whole sequence is the one shingle; rows repeating a document id
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +50,10 @@ MEMO = 400_000
 SAMPLES, BITS = 128, 512
 FINE_SAMPLES, FINE_BITS = 2048, 8192
 ROWS = 4
-#: Members of a bucket in one block.
+#: Members of a bucket in one block, and by how many of the finer samples in how many bands the members
+#: of larger buckets are parted, level after level.
 BLOCK = 256
+LEVELS = ((8, 128), (12, 170))
 #: Standard deviations below the threshold at which sketches drop a pair.
 SPREAD = 5
 
@@ -106,10 +112,10 @@ def odd_sketches(mins: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
 
 
-def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
-    m = mins[:, : bands * ROWS].astype(U).reshape(len(mins), bands, ROWS)
+def band_keys(mins: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
+    m = mins[:, : bands * rows].astype(U).reshape(len(mins), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), m.shape[:2]).copy()
-    for j in range(ROWS):
+    for j in range(rows):
         key = mix64(key * U(0x9E3779B97F4A7C15) + m[:, :, j])
     return key.view(np.int64)
 
@@ -122,21 +128,21 @@ def most_bits(similarity: float, samples_: int = SAMPLES, bits: int = BITS) -> i
     return math.ceil(bits / 2 * (1 - math.exp(-2 * apart / bits)))
 
 
-_SIGS = schema_of(("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())))
+_SIGS = schema_of(("doc_id", pa.int64()), ("salt", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())))
 
 
 def signatures(docs: DataFrame, w: int, bands: int) -> DataFrame:
     def run(batches):
         for part in slices(batches):
-            sets = [shingles(t, w) for t in part.column(1).to_pylist()]
+            sets = [shingles(t, w) for t in part.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             mins = samples(full) if full else np.zeros((0, SAMPLES), np.uint32)
             keyed, sketched = iter(band_keys(mins, bands)), iter(odd_sketches(mins)) if full else iter(())
             rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), next(keyed), next(sketched)) if len(s) else (0, None, None, None) for s in sets]
             columns = list(zip(*rows, strict=True))
-            yield pa.record_batch([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(_SIGS)[1:], strict=True))], schema=_SIGS)
+            yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_SIGS)[2:], strict=True))], schema=_SIGS)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "salt", "text").mapInArrow(run, "doc_id long, salt long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
 _LINKS = schema_of(("a", pa.binary()), ("b", pa.binary()))
@@ -178,49 +184,66 @@ def _confirm(pairs: DataFrame, texts: DataFrame, w: int, num: int, den: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
-    """key and text of the classes wanted (key, doc_id). Where an id has several texts, the one whose
-    set has the key is taken."""
-
-    def run(batches):
-        for part in slices(batches):
-            keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            keep = [i for i in range(part.num_rows) if xxhash.xxh3_128_digest(shingles(texts[i], w).tobytes()) == keys[i]]
-            yield pa.record_batch([pa.array([keys[i] for i in keep], pa.binary()), pa.array([texts[i] for i in keep], pa.string())], names=["key", "text"])
-
-    side = wanted.select("key", F.col("doc_id").alias("of"))
-    found = docs.join(side, docs["doc_id"].eqNullSafe(side["of"])).select("key", "text").mapInArrow(run, "key binary, text string")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and text of the classes wanted (key, doc_id, salt)."""
+    side = wanted.select("key", F.col("doc_id").alias("of"), F.col("salt").alias("as"))
+    found = docs.join(side, docs["doc_id"].eqNullSafe(side["of"]) & (docs["salt"] == side["as"]))
     return found.groupBy("key").agg(F.min("text").alias("text"))
 
 
-def _fine(texts: DataFrame, w: int) -> DataFrame:
-    """key and the finer odd sketch of each text."""
+def _sampled(texts: DataFrame, w: int, make, name: str, kind: str) -> DataFrame:
+    """key and what make() gives for the finer samples of each text."""
 
     def run(batches):
         for part in slices(batches, rows=128):
             mins = samples([shingles(t, w) for t in part.column(1).to_pylist()], FINE_SAMPLES)
-            yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in odd_sketches(mins, FINE_BITS)], pa.binary())], names=["key", "fine"])
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, fine binary")
+            yield pa.record_batch([part.column(0), make(mins)], names=["key", name])
+
+    return texts.select("key", "text").mapInArrow(run, f"key binary, {name} {kind}")
+
+
+def _later(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, w: int, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from buckets that hold several; a written table.
+    Buckets of more than BLOCK members are parted by further bands, level after level; what is crowded
+    still after the last is set against one another in blocks. Pairs that several buckets hold come
+    from one of them."""
+    found, members, bands = [], shared, classes.select("key", "bands")
+    for level in range(len(LEVELS) + 1):
+        member = members.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
+        sizes = member.groupBy("band", "label").agg(F.count("*").alias("n"))
+        buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+        mixed = materialize(member.join(buckets, "band"), "mixed")
+        fine = _sampled(texts.join(mixed.select("key").distinct(), "key"), w, lambda m: pa.array([s.tobytes() for s in odd_sketches(m, FINE_BITS)], pa.binary()), "fine", "binary")
+        about = materialize(bands.join(fine, "key"), "fine")
+        last = level == len(LEVELS)
+        found.append(materialize(_compared(mixed if last else mixed.filter(F.col("size") <= BLOCK), about, similarity), "near"))
+        release(about, *([members] if level else []))
+        crowded = mixed.filter(F.col("size") > BLOCK).select("key").distinct()
+        done = last or crowded.isEmpty()
+        if not done:
+            rows, count = LEVELS[level]
+            further = _sampled(texts.join(crowded, "key"), w, lambda m, rows=rows, count=count: pa.array(list(band_keys(m, count, rows)), pa.list_(pa.int64())), "bands", "array<bigint>")
+            bands = materialize(further, "bands")
+            members = materialize(bands.select("key", F.explode("bands").alias("band")), "members")
+        release(mixed)
+        if done:
+            break
+    out = materialize(reduce(DataFrame.union, found).distinct(), "later")
+    release(*found, *([members, bands] if level else []))
+    return out
 
 
-def _blocks(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, w: int, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from buckets that hold several. The finer
+def _compared(mixed: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """Members outside a bucket's main component against all its members, block by block. The finer
     sketches decide, so that few pairs below the threshold are left to confirm."""
     most = most_bits(similarity, FINE_SAMPLES, FINE_BITS)
-    member = shared.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
-    sizes = member.groupBy("band", "label").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    mixed = materialize(member.join(buckets, "band"), "mixed")
-    fine = _fine(texts.join(mixed.select("key").distinct(), "key"), w)
-    about = materialize(classes.select("key", "bands").join(fine, "key"), "fine")
     full = mixed.join(about, "key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks)
     rest = ["key", "label", (F.col("label") == F.col("main")).alias("main"), "bands", "fine"]
     right = full.select("band", own.cast("long").alias("block"), F.lit(False).alias("outside"), *rest)
     left = full.filter(F.col("label") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("outside"), *rest)
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = right.unionByName(left).repartition(parts, "band", "block").sortWithinPartitions("band", "block", "outside")
 
     def compare(block: pa.Table) -> tuple[list[bytes], list[bytes]]:
@@ -271,16 +294,16 @@ def _blocks(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
 def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, bands: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links, its own included) and
     kept (whether that is its own), one row per row of df. Links: den * intersection >= num * union."""
-    spark = df.sparkSession
-    docs = documents(df, id_col, text_col)
+    docs = documents(df, id_col, text_col).withColumn("salt", F.xxhash64("text"))
     sigs = materialize(signatures(docs, w, bands), "signatures")
-    classes = materialize(sigs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    # a class is represented by the text of its least row
+    least = F.min_by("salt", F.struct(F.col("doc_id").isNull(), "doc_id", "salt"))
+    classes = materialize(sigs.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), least.alias("salt"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     most = most_bits(num / den)
 
     members = classes.select("key", F.explode("bands").alias("band"))
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = materialize(members.join(crowded, "band"), "shared")
-    release(spark)
     # the buckets of one large group each have a hub of their own, and all a common one
     hubs = shared.groupBy("band").agg(F.min("key").alias("common"), F.min_by("key", F.xxhash64("band", "key")).alias("own"))
     star = shared.join(hubs, "band").select("key", F.explode(F.array_distinct(F.array("common", "own"))).alias("hub"))
@@ -290,26 +313,34 @@ def near_duplicates(df: DataFrame, w: int = 5, num: int = 80, den: int = 100, ba
     far = sum((word(i) for i in range(1, BITS // 64)), word(0))
     sifted = star.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").filter(far <= most).select("a", "b")
     sifted = materialize(sifted, "pairs")
-    wanted = shared.select("key").distinct().join(classes.select("key", "doc_id"), "key")
-    texts = materialize(_texts(docs, wanted, w), "texts")
-    release(spark)
+    wanted = shared.select("key").distinct().join(classes.select("key", "doc_id", "salt"), "key")
+    texts = materialize(_texts(docs, wanted), "texts")
     links = materialize(_confirm(sifted, texts, w, num, den), "links")
+    release(sifted)
     labels = components(links)
-    rest = _confirm(materialize(_blocks(shared, labels, classes, texts, w, num / den), "rest"), texts, w, num, den)
-    rest = materialize(rest, "links")
+    release(links)
+    later = _later(shared, labels, classes, texts, w, num / den)
+    release(shared)
+    rest = materialize(_confirm(later, texts, w, num, den), "links")
+    release(later, texts)
     of = classes.select("key", "doc_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    wider = None
     if not rest.isEmpty():
         # these links join components, so only the components' labels go through the rounds again
         ends = rest.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
         ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct()
-        wider = components(ends).toDF("label", "wider")
-        of = of.join(wider, "label", "left").select("key", "doc_id", F.coalesce("wider", "label").alias("label"))
-    release(spark)
+        wider = components(ends)
+        of = of.join(wider.toDF("label", "wider"), "label", "left").select("key", "doc_id", F.coalesce("wider", "label").alias("label"))
+    of = materialize(of, "components")
+    release(rest, labels, classes, *([wider] if wider else []))
 
     least = of.groupBy("label").agg(F.min("doc_id").alias("component"))
     found = of.join(least, "label").select("key", "component")
-    return sigs.select("doc_id", "n_shingles", "key").join(found, "key", "left").select(
+    out = sigs.select("doc_id", "n_shingles", "key").join(found, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
+    out = materialize(out, "near")
+    release(sigs, of)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

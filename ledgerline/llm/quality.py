@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, materialize, mix64, release, slices
+from ledgerline.llm.common import U, materialize, mix64, slices
 
 #: Target documents at most; buckets of words (twice) and of pairs; what log weights are multiplied by
 #: before sampling, and the floor that a Gumbel number must lift them over.
@@ -169,7 +169,6 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     two have _ in front while such columns exist."""
     keep = list(df.columns) if keep is None else keep
     ratios = fit(df, labels, id_col, text_col)
-    release(df.sparkSession)
     name = "_"
     while any(c.startswith(name) for c in keep):
         name += "_"

@@ -245,12 +245,11 @@ def repeated_ranges(df: DataFrame, length: int = 100, id_col: str = "doc_id", te
     counts = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     shared = single.join(counts, "h")
     by_doc = materialize(shared.groupBy("doc").agg(F.collect_list(F.struct("at", "h", "n")).alias("shared")), "shared")
-    release(spark, found)
+    release(found)
 
     joined = named.join(by_doc, "doc")
     pick = lambda large: joined.withColumn("shared", F.filter("shared", lambda a: (a["n"] > LARGE) == F.lit(large))).filter(F.size("shared") > 0).select("doc", "salt", "text", "shared")
     ranges = materialize(_repeats(_contexts(pick(False), length, windows=False), length), "ranges")
-    release(spark)
     if not by_doc.filter(F.exists("shared", lambda a: a["n"] > LARGE)).isEmpty():
         windows = materialize(_contexts(pick(True), length, windows=True), "windows")
         start = F.struct("doc", "first")
