@@ -29,7 +29,7 @@ def _lines(text: str):
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, salt (a hash of the text) and starts: where in the document windows begin that occur
     earlier too."""
-    docs = documents(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc"), F.xxhash64("text").alias("salt"), _lines("text").alias("lines"))
+    docs = documents(df, id_col, text_col).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("salt"), _lines("text").alias("lines"))
     spot = F.sequence(F.lit(1), F.size("lines") - (WINDOW - 1))
     hashed = F.transform(spot, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("lines", i, WINDOW)).alias("h1"), F.xxhash64(F.lit(1), F.slice("lines", i, WINDOW)).alias("h2")))
     windows = docs.filter(F.size("lines") >= WINDOW).select("doc", "salt", F.explode(hashed).alias("w")).select("doc", "salt", "w.*")
@@ -38,15 +38,16 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # written first, so that the join has plain inputs and Spark can split a very common window
     first = materialize(first, "first")
-    again = windows.join(first, ["h1", "h2"]).filter(F.col("first") != place)
-    return materialize(again.groupBy("doc", "salt").agg(F.collect_set("at").alias("starts")), "starts")
+    again = windows.join(first, ["h1", "h2"]).filter(~F.col("first").eqNullSafe(place))
+    starts = materialize(again.groupBy("doc", "salt").agg(F.collect_set("at").alias("starts")), "starts")
+    release(windows, first)
+    return starts
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the remaining lines in text_col, and n_lines and n_removed in columns added under these
     names (with _ in front while df has such columns)."""
     starts = repeated_windows(df, id_col, text_col)
-    release(df.sparkSession)
     names = {}
     for name in ("_doc", "_salt", "_starts", "_lines", "_kept", "n_lines", "n_removed"):
         out = name
@@ -55,9 +56,10 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         names[name] = out
     doc, salt, lines, kept = (names[n] for n in ("_doc", "_salt", "_lines", "_kept"))
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    side = starts.toDF(doc + "s", salt + "s", names["_starts"])
-    keyed = df.withColumns({doc: F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63)).cast("long")), salt: F.xxhash64(text)})
-    joined = keyed.join(side, (F.col(doc) == F.col(doc + "s")) & (F.col(salt) == F.col(salt + "s")), "left")
+    # sorted and merged at every size, as the starts grow with the input and may outgrow a broadcast
+    side = starts.toDF(doc + "s", salt + "s", names["_starts"]).hint("merge")
+    keyed = df.withColumns({doc: df[id_col].cast("long"), salt: F.xxhash64(text)})
+    joined = keyed.join(side, F.col(doc).eqNullSafe(F.col(doc + "s")) & (F.col(salt) == F.col(salt + "s")), "left")
     covered = F.flatten(F.transform(names["_starts"], lambda s: F.sequence(s, s + (WINDOW - 1))))
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.coalesce(covered, F.array().cast("array<int>")))
     out = joined.withColumn(lines, _lines(text)).withColumn(kept, left)
