@@ -7,10 +7,13 @@ go; the rest is packed into sequences. All stages but the last return the column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import materialize, reads, release, written
 from ledgerline.llm.decontam import drop_contaminated
 from ledgerline.llm.lines import drop_repeated_lines
 from ledgerline.llm.minhash import drop_near_duplicates
@@ -19,10 +22,33 @@ from ledgerline.llm.quality import resample
 from ledgerline.llm.queries import table, vocabulary
 
 
+#: What stages have written on their way.
+_left: list[list[str]] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """Once a stage's result is written and read again, nothing reads what the stage wrote on its way;
+    the next stage begins by deleting it."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for paths in [p for p in _left if not reads(docs, p)]:
+            release(*paths)
+            _left.remove(paths)
+        with written() as paths:
+            out = f(spark, docs, sf_dir)
+        _left.append(paths)
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return resample(docs, table(spark, sf_dir, "labels")).select(docs.columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text where lines went."""
     kept = drop_repeated_lines(docs)
@@ -31,14 +57,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, w=5, num=80, den=100, bands=32)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(pieces(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=1), capacity=2048)
 
@@ -54,5 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "written_to"):
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
