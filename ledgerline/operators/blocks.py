@@ -30,6 +30,14 @@ def cut(sizes: np.ndarray, filled: int, limit: int) -> tuple[np.ndarray, int]:
     return starts, filled
 
 
+def out_of_order(entries: DataFrame, run: str = "run", order: str = "seq") -> DataFrame:
+    """Per run how many entries, in the order they were appended in, don't come behind the key before:
+    run, n_entries, n_violations. A run may be written only without any."""
+    before = F.lag("key").over(Window.partitionBy(run).orderBy(order))
+    seen = entries.select(F.col(run).cast("long").alias("run"), (F.col("key") <= before).alias("bad"))
+    return seen.groupBy("run").agg(F.count("*").alias("n_entries"), F.count_if("bad").alias("n_violations"))
+
+
 def form_blocks(entries: DataFrame, run: str = "run", limit: int = BLOCK_BYTES) -> DataFrame:
     """Per entry its block: run, key, bytes, offset in the run's data, block_id from 0."""
     sized = entries.select(F.col(run).cast("long").alias("run"), "key", entry_bytes().alias("bytes"))

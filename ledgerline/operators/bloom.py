@@ -18,6 +18,8 @@ U = np.uint64
 BASIS, PRIME = U(14695981039346656037), U(1099511628211)
 SPREAD, FINISH = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD)
 BLOCK_BITS, PROBES = 512, 8
+#: Blocks in a segment of a filter that is built, and bytes of segments a task holds.
+SEGMENT, HELD = 1 << 14, 64 << 20
 
 
 def n_blocks(keys: int, rate: float = 0.01) -> int:
@@ -67,43 +69,78 @@ def may_contain(data: bytes, keys: list[bytes]) -> np.ndarray:
 
 
 def build_filters(entries: DataFrame, run: str = "run", rate: float = 0.01) -> DataFrame:
-    """Per run its filter: run, n_keys, filter. Keys are first reduced to partial filters of the run's
-    final size, task by task, and those are OR-ed, so a run's keys never meet in one task."""
+    """Per run its filter: run, n_keys, filter. A run's filter is made in segments of its blocks, each
+    task reduces its keys to bits first, and only the bits of one segment meet in a task."""
     counts = entries.groupBy(F.col(run).cast("long").alias("run")).agg(F.count("*").alias("n_keys"))
     keyed = entries.select(F.col(run).cast("long").alias("run"), F.col("key").cast("binary").alias("key")).join(counts, "run")
 
     def partial(frames):
-        made: dict[int, np.ndarray] = {}
-        size: dict[int, int] = {}
+        made: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in frames:
             for (r, n), part in pdf.groupby(["run", "n_keys"]):
-                bits = np.frombuffer(build([bytes(k) for k in part["key"]], n_blocks(n, rate)), np.uint8)
-                made[r], size[r] = made[r] | bits if r in made else bits, n
-        yield pd.DataFrame({"run": list(made), "n_keys": [size[r] for r in made], "filter": [b.tobytes() for b in made.values()]})
+                blocks = n_blocks(n, rate)
+                block, bit = positions([bytes(k) for k in part["key"]], blocks)
+                for s in np.unique(block // SEGMENT).tolist():
+                    own = block // SEGMENT == s
+                    size = min(SEGMENT, blocks - s * SEGMENT)
+                    bits = np.zeros(size * BLOCK_BITS, np.uint8)
+                    bits[((block[own] - s * SEGMENT)[:, None] * BLOCK_BITS + bit[own]).ravel()] = 1
+                    packed = np.packbits(bits, bitorder="little")
+                    made[r, n, s] = made[r, n, s] | packed if (r, n, s) in made else packed
+            if len(made) * SEGMENT * BLOCK_BITS // 8 > HELD:
+                yield frame(made)
+                made = {}
+        yield frame(made)
+
+    def frame(made: dict) -> pd.DataFrame:
+        r, n, s = zip(*made, strict=True) if made else ((), (), ())
+        return pd.DataFrame({"run": np.array(r, np.int64), "n_keys": np.array(n, np.int64), "segment": np.array(s, np.int64), "bits": [b.tobytes() for b in made.values()]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["filter"]])
-        return pd.DataFrame({"run": pdf["run"][:1], "n_keys": pdf["n_keys"][:1], "filter": [bits.tobytes()]})
-
-    schema = "run long, n_keys long, filter binary"
-    return keyed.mapInPandas(partial, schema).groupBy("run").applyInPandas(join, schema)
-
-
-def probe(key: Column, filter_: Column) -> Column:
-    """Whether the filter may hold the key."""
-
-    @F.pandas_udf("boolean")
-    def run(keys: pd.Series, filters: pd.Series) -> pd.Series:
-        out = np.zeros(len(keys), bool)
-        for data, at in filters.groupby(filters.map(bytes)).groups.items():
-            spots = keys.index.get_indexer(at)
-            out[spots] = may_contain(data, [bytes(k) for k in keys.iloc[spots]])
-        return pd.Series(out)
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"run": pdf["run"][:1], "n_keys": pdf["n_keys"][:1], "segment": pdf["segment"][:1], "bits": [bits.tobytes()]})
+
+    blank = counts.select("run", "n_keys", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((_blocks(rate) - 1) / SEGMENT))).alias("segment"))
+    size = F.least(F.lit(SEGMENT), _blocks(rate) - F.col("segment") * SEGMENT)
+    set_ = keyed.mapInPandas(partial, "run long, n_keys long, segment long, bits binary").groupBy("run", "segment").applyInPandas(join, "run long, n_keys long, segment long, bits binary")
+    every = blank.join(set_.select("run", "segment", "bits"), ["run", "segment"], "left")
+    bits = F.coalesce("bits", F.unhex(F.repeat(F.lit("00"), (size * (BLOCK_BITS // 8)).cast("int"))))
+    pieces = every.groupBy("run", "n_keys").agg(F.sort_array(F.collect_list(F.struct("segment", bits.alias("bits")))).alias("p"))  # a filter is one value by its format
+    return pieces.select("run", "n_keys", F.aggregate("p.bits", F.lit(b""), lambda a, b: F.concat(a, b)).alias("filter"))
+
+
+def _blocks(rate: float) -> Column:
+    """n_blocks() of the column n_keys."""
+    bits = F.floor(F.col("n_keys") * F.lit(-math.log(rate)) / F.lit(math.log(2) ** 2))
+    return F.greatest(F.lit(1), F.ceil(bits / BLOCK_BITS)).cast("long")
+
+
+def probe(pairs: DataFrame, filters: DataFrame, salts: int = 8) -> DataFrame:
+    """pairs (key, run) with hit: whether the run may hold the key by its filter, if it has one. A run's keys are dealt to
+    salts tasks, and its filter goes to each of them once."""
+    key = F.col("key").cast("binary").alias("key")
+    asks = pairs.select(F.col("run").cast("long").alias("run"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"), F.lit(1).alias("ask"), key, F.lit(None).cast("binary").alias("filter"))
+    held = filters.select(F.col("run").cast("long").alias("run"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("ask"), F.lit(None).cast("binary").alias("key"), "filter")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames):
+        now, data = None, b""
+        for pdf in frames:
+            for r, part in pdf.groupby("run", sort=False):
+                first = part[part["ask"] == 0]
+                if len(first):
+                    now, data = r, bytes(first["filter"].iloc[0])
+                keys = [bytes(k) for k in part.loc[part["ask"] == 1, "key"]]
+                hit = may_contain(data, keys) if now == r else np.ones(len(keys), bool)
+                yield pd.DataFrame({"key": keys, "run": np.full(len(keys), r), "hit": hit})
 
-    return run(key.cast("binary"), filter_)
+    dealt = asks.unionByName(held).repartition(parts, "run", "salt").sortWithinPartitions("run", "salt", "ask")
+    return dealt.mapInPandas(run, "key binary, run long, hit boolean")
 
 
 def prune(keys: DataFrame, filters: DataFrame) -> DataFrame:
-    """The (key, run) pairs worth reading: runs whose filter may hold the key. Filters are one row per
-    run; the pairs are a stated set of keys against all runs."""
-    return keys.join(filters.select("run", "filter"), F.lit(True)).filter(probe(F.col("key"), F.col("filter"))).select("key", "run")
+    """The (key, run) pairs worth reading: runs whose filter may hold the key. The pairs are a stated set
+    of keys against all runs."""
+    runs = sorted(r["run"] for r in filters.select("run").collect())  # one number per run
+    pairs = keys.select("key", F.explode(F.array(*(F.lit(r).cast("long") for r in runs))).alias("run")) if runs else keys.select("key", F.lit(0).cast("long").alias("run")).limit(0)
+    return probe(pairs, filters).filter("hit").select("key", "run")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ordered
 from ledgerline.operators.resolve import merge
 from ledgerline.schema import L1_ENTRIES
 
@@ -17,31 +15,8 @@ def compacted(runs: list[DataFrame]) -> DataFrame:
     return merge(runs).filter(~F.col("is_tombstone"))
 
 
-def number_files(entries: DataFrame, per_file: int = L1_ENTRIES, first: int = 0) -> DataFrame:
-    """entries, sorted, with file: disjoint ascending files of exactly per_file keys but for the last.
-
-    The entries are range-partitioned; the partitions' sizes come to the driver, one number each, and
-    their running sums place each partition, so no task sees more than its own part.
-    """
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("_part", F.spark_partition_id())
-    ordered = ordered.persist()
-    sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    begin = dict(zip(sorted(sizes), [0, *accumulate(sizes[p] for p in sorted(sizes))], strict=False))
-
-    def place(batches):
-        at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.column("_part")[0].as_py()
-            at = begin[part] if at is None else at
-            files = [(at + i) // per_file + first for i in range(batch.num_rows)]
-            at += batch.num_rows
-            keep = [n for n in batch.schema.names if n != "_part"]
-            yield pa.record_batch([*(batch.column(n) for n in keep), pa.array(files, pa.int64())], names=[*keep, "file"])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
-    numbered = ordered.mapInArrow(place, f"{ddl}, file long")
-    numbered.held = ordered  # for unpersist() once it is written
-    return numbered
+def number_files(entries: DataFrame, per_file: int = L1_ENTRIES, first: int = 0, path: str | None = None) -> DataFrame:
+    """entries, sorted and written (to path, if given), with file: disjoint ascending files of exactly
+    per_file keys but for the last."""
+    placed = ordered.numbered(entries, ["key"], "_place", path, **{"parquet.bloom.filter.enabled#key": "true"})
+    return placed.withColumn("file", (F.floor(F.col("_place") / per_file) + first).cast("long")).drop("_place")

@@ -6,8 +6,6 @@ deleted by status F). part gives sorted entries for blocks. Keys are shown as te
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import binary
 from ledgerline.operators import blocks, bloom, compact, lookup, resolve
-from ledgerline.schema import L1_ENTRIES, operations, puts
-from ledgerline.sources import log
+from ledgerline.schema import OPS, operations, puts
+from ledgerline.sources import files, log, run_file
 
 RUN_OPS = 1000
 FILE_ENTRIES = 100
@@ -173,8 +171,7 @@ def filter_check(spark, sf_dir):
     """Every run's filter against the run's own keys: none may be missed."""
     entries = part_entries(spark, sf_dir)
     filters = bloom.build_filters(entries)
-    probed = entries.join(filters.select("run", "filter"), "run").withColumn("hit", bloom.probe(F.col("key"), F.col("filter")))
-    return probed.groupBy("run").agg(F.count("*").alias("n_keys"), F.count_if(~F.col("hit")).alias("n_missed"))
+    return bloom.probe(entries, filters).groupBy("run").agg(F.count("*").alias("n_keys"), F.count_if(~F.col("hit")).alias("n_missed"))
 
 
 def filter_sizes(spark, sf_dir):
@@ -182,46 +179,168 @@ def filter_sizes(spark, sf_dir):
     return filters.select("run", "n_keys", (F.octet_length("filter") / 64).cast("long").alias("n_blocks"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one, which a store needs to be a POSIX path; in the machine's own
-    temporary folder only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder and folder.startswith("file:"):
-        folder = folder.split(":", 1)[1].replace("//", "/", 1)
-    if folder and folder.startswith("/"):
-        os.makedirs(folder, exist_ok=True)
-    if folder and not folder.startswith("/"):
-        raise ValueError(f"a store needs a POSIX path, not {folder}")
-    return tempfile.mkdtemp(prefix="store-", dir=folder or None)
+def filter_rate(spark, sf_dir):
+    """How many of 20,000 keys that no run has each run's filter lets pass: at most a twentieth."""
+    filters = bloom.build_filters(part_entries(spark, sf_dir))
+    absent = spark.range(20_000).select(F.concat(F.lit("absent_"), F.col("id").cast("string")).cast("binary").alias("key"))
+    passed = bloom.prune(absent, filters).groupBy("run").agg(F.count("*").alias("n"))
+    return filters.select("run", "n_keys").join(passed, "run", "left").select("run", "n_keys", (F.coalesce("n", F.lit(0)) <= 1000).alias("within_limit"))
 
 
-def store_snapshot(spark, sf_dir):
-    """The orders written to a store in five flushed batches, so compacted once, then read."""
+def filtered_read(spark, sf_dir):
+    """Keys to the runs whose filter lets them pass, and only those are read for them."""
+    entries = part_entries(spark, sf_dir)
+    keys = entries.filter(F.col("seq") % 5 == 0).select("key").unionAll(customer_keys(spark, sf_dir))
+    worth = bloom.prune(keys, bloom.build_filters(entries))
+    return _shown(worth.join(entries, ["run", "key"]).select("run", "key", "value"))
+
+
+def order_check(spark, sf_dir):
+    return blocks.out_of_order(event_ops(spark, sf_dir).withColumn("run", F.floor(F.col("seq") / RUN_OPS).cast("long")))
+
+
+def _bad_logs(spark, sf_dir):
+    """The events as logs of 1,000 records each, of which some are damaged: a changed byte, a length beyond
+    the end, a type that isn't known under a good checksum, a type that is cleared."""
+    import pyarrow as pa
+
+    ops = event_ops(spark, sf_dir)
+    odd = ops.withColumn("op", F.when(F.col("seq") % 13 == 3, F.lit(3)).otherwise(F.col("op")).cast("byte"))
+    seq, r = F.col("seq"), F.col("record")
+    put = lambda at, data: F.concat(F.substring(r, 1, at), F.lit(data), F.substring(r, at + len(data) + 1, 1 << 20))
+    bad = F.when(seq % 13 == 5, put(9, b"\xfe")).when(seq % 13 == 7, put(1, b"\xff\xff\xff\x3f")).when(seq % 13 == 9, put(0, b"\x00")).otherwise(r)
+    records = log.encoded(odd).select(F.floor(seq / RUN_OPS).cast("long").alias("log"), "seq", bad.alias("record"))
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        name = f"{table.column('log')[0].as_py():08d}"
+        return pa.table({"name": [name], "data": pa.array([b"".join(table.column("record").to_pylist())], pa.binary())})
+
+    return records.groupBy("log").applyInArrow(joined, "name string, data binary")
+
+
+def log_recovery(spark, sf_dir):
+    """What recovery accepts of damaged logs, resolved."""
+    back = _bad_logs(spark, sf_dir).mapInArrow(log.decode_batches, log.RECOVERED)
+    return _shown(resolve.snapshot(log.replay(back)))
+
+
+def log_replay(spark, sf_dir):
+    """What recovery accepts of damaged logs, numbered in order of logs and places."""
+    back = _bad_logs(spark, sf_dir).mapInArrow(log.decode_batches, log.RECOVERED)
+    return _shown(log.replay(back, after=100), "key", "value")
+
+
+def log_damage(spark, sf_dir):
+    return log.warnings(_bad_logs(spark, sf_dir)).select(F.col("file").cast("long").alias("log"), "outcome", "places")
+
+
+def _event_runs(spark, sf_dir):
+    return run_file.encoded_runs(_runs(event_ops(spark, sf_dir)))
+
+
+def run_file_scan(spark, sf_dir):
+    return _shown(run_file.decoded_runs(_event_runs(spark, sf_dir)))
+
+
+def run_file_get(spark, sf_dir):
+    return _shown(run_file.decoded_runs(_event_runs(spark, sf_dir), b"user_7"))
+
+
+def _store(spark, name, **limits):
     from ledgerline.store import Store
 
-    ops = order_ops(spark, sf_dir)
+    return Store(spark, files.scratch(spark, name), **limits)
+
+
+def _filled(store, ops: DataFrame, batches: int, flushed: int) -> None:
+    """The operations in batches of seq, all sent twice as a stream would; the first are flushed."""
     last = ops.agg(F.max("seq")).first()[0] or 0
-    with Store(spark, _scratch(spark)) as store:
-        for i in range(5):
-            store.apply(ops.filter((F.col("seq") > (last * i // 5 if i else -1)) & (F.col("seq") <= last * (i + 1) // 5)))
+    for i in range(batches):
+        batch = ops.filter((F.col("seq") > (last * i // batches if i else -1)) & (F.col("seq") <= last * (i + 1) // batches))
+        for _ in range(2):
+            store.apply(batch, token=f"orders/{i}")
+        if i < flushed:
             store.flush()
+
+
+def store_snapshot(spark, sf_dir):
+    """The orders written to a store in five flushed batches, so compacted once, then read."""
+    with _store(spark, "store") as store:
+        _filled(store, order_ops(spark, sf_dir), 5, 5)
         return _shown(store.snapshot())
 
 
+def store_get(spark, sf_dir):
+    """Single keys read from pending operations over a run, present, deleted and absent ones."""
+    with _store(spark, "store") as store:
+        _filled(store, order_ops(spark, sf_dir), 2, 1)
+        keys = [f"cust_{i}" for i in (1, 2, 4, 5, 7, 8, 99_999_999)]
+        return spark.createDataFrame([(k, v.decode() if v is not None else None) for k in keys for v in [store.get(k.encode())]], "key string, value string")
+
+
+def store_multi_get(spark, sf_dir):
+    """Many keys at once from pending operations, runs and compacted files."""
+    with _store(spark, "store") as store:
+        _filled(store, order_ops(spark, sf_dir), 6, 5)
+        return _shown(files.written(store.multi_get(customer_keys(spark, sf_dir)), files.scratch(spark, "got")))
+
+
+def store_scan(spark, sf_dir):
+    with _store(spark, "store") as store:
+        _filled(store, order_ops(spark, sf_dir), 3, 2)
+        return _shown(files.written(store.scan(b"cust_2", b"cust_5"), files.scratch(spark, "got")))
+
+
+def store_pending(spark, sf_dir):
+    """What is pending, in key order and with deletions."""
+    with _store(spark, "store", memtable_bytes=1 << 40) as store:
+        _filled(store, event_ops(spark, sf_dir), 2, 0)
+        return _shown(files.written(store.pending_entries(), files.scratch(spark, "got")))
+
+
+def store_files(spark, sf_dir):
+    """The files of level 1 after a compaction, newest run and counters included."""
+    with _store(spark, "store", l1_entries=FILE_ENTRIES) as store:
+        _filled(store, order_ops(spark, sf_dir), 4, 4)
+        return _shown(store.manifest().drop("path"), "smallest_key", "largest_key")
+
+
+def store_stats(spark, sf_dir):
+    with _store(spark, "store", memtable_bytes=1 << 40) as store:
+        _filled(store, order_ops(spark, sf_dir), 3, 2)
+        return spark.createDataFrame([store.stats()], "memtable_entries long, memtable_bytes long, runs long, seq long")
+
+
+def _event_files(spark, sf_dir, parts: int) -> DataFrame:
+    """The events' operations as a stream of as many files."""
+    folder = files.scratch(spark, "in")
+    event_ops(spark, sf_dir).repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(folder)
+    return spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def stream_snapshot(spark, sf_dir):
-    """The events as a stream of files into a store."""
-    from ledgerline.store import Store
+    """The events as a stream of six micro-batches into a store, each of which is flushed by its size; the
+    fourth flush compacts."""
     from ledgerline.streaming.ingest import into_store
 
-    folder = _scratch(spark)
-    event_ops(spark, sf_dir).repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("seq long, op byte, key binary, value binary").parquet(f"{folder}/in")
-    with Store(spark, f"{folder}/store") as store:
-        into_store(stream, store, f"{folder}/checkpoint").awaitTermination()
+    with _store(spark, "store", memtable_bytes=64) as store:
+        into_store(_event_files(spark, sf_dir, 6), store, files.scratch(spark, "checkpoint")).awaitTermination()
         return _shown(store.snapshot())
 
 
-_NAMES = "snapshot_events snapshot_orders snapshot_as_of tombstone_list memtable_stats run_stats run_recency newest_run_wins level_counts compaction_files point_get multi_get missing_keys range_scan prefix_scan probed_runs log_layout log_record_sizes log_round_trip run_names entry_blocks block_lookup filter_check filter_sizes store_snapshot stream_snapshot".split()
+def stream_state(spark, sf_dir):
+    """The latest operation of each key in a stream's keyed state."""
+    from ledgerline.streaming.ingest import latest_state
+
+    out = files.scratch(spark, "state")
+    write = lambda df, n: df.write.mode("append").parquet(out)
+    latest_state(_event_files(spark, sf_dir, 2)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", files.scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema("key binary, is_tombstone boolean, value binary, seq long").parquet(out)
+    return _shown(resolve.merge([every]))
+
+
+_NAMES = "snapshot_events snapshot_orders snapshot_as_of tombstone_list memtable_stats run_stats run_recency newest_run_wins level_counts compaction_files point_get multi_get missing_keys range_scan prefix_scan probed_runs log_layout log_record_sizes log_round_trip run_names entry_blocks block_lookup filter_check filter_sizes filter_rate filtered_read order_check log_recovery log_replay log_damage run_file_scan run_file_get store_snapshot store_get store_multi_get store_scan store_pending store_files store_stats stream_snapshot stream_state".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -279,6 +398,21 @@ f AS (SELECT run, k, bytes, i, CAST(0 AS BIGINT) AS b, CAST(bytes AS BIGINT) AS
         "block_lookup": f"{fold} SELECT run, k AS key, b AS block_id FROM f",
         "filter_check": f"SELECT run, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_missed FROM ({_PARTS}) GROUP BY run",
         "filter_sizes": f"SELECT run, count(*) AS n_keys, CAST(greatest(1, ceil(floor(-count(*) * ln(0.01) / (ln(2) * ln(2))) / 512)) AS BIGINT) AS n_blocks FROM ({_PARTS}) GROUP BY run",
+        "filter_rate": f"SELECT run, count(*) AS n_keys, true AS within_limit FROM ({_PARTS}) GROUP BY run",
+        "filtered_read": f"SELECT run, k AS key, v AS value FROM ({_PARTS}) WHERE seq % 5 = 0",
+        "order_check": f"SELECT run, count(*) AS n_entries, count(*) FILTER (WHERE k <= before) AS n_violations FROM (SELECT seq // {RUN_OPS} AS run, k, lag(k) OVER (PARTITION BY seq // {RUN_OPS} ORDER BY seq) AS before FROM ({_EVENTS})) GROUP BY run",
+        "log_recovery": live(f"SELECT * FROM ({_EVENTS}) WHERE seq % 13 NOT IN (3, 5, 7, 9)"),
+        "log_replay": f"SELECT row_number() OVER (ORDER BY seq) + 100 AS seq, CAST(CASE WHEN gone THEN 2 ELSE 1 END AS TINYINT) AS op, k AS key, v AS value FROM ({_EVENTS}) WHERE seq % 13 NOT IN (3, 5, 7, 9)",
+        "log_damage": f"SELECT seq // {RUN_OPS} AS log, CASE seq % 13 WHEN 3 THEN 'type' WHEN 5 THEN 'checksum' ELSE 'lengths' END AS outcome, count(*) AS places FROM ({_EVENTS}) WHERE seq % 13 IN (3, 5, 7) GROUP BY 1, 2",
+        "run_file_scan": f"SELECT run, k AS key, gone AS is_tombstone, v AS value FROM ({_in_runs(_EVENTS)})",
+        "run_file_get": f"SELECT run, k AS key, gone AS is_tombstone, v AS value FROM ({_in_runs(_EVENTS)}) WHERE k = 'user_7'",
         "store_snapshot": orders,
+        "store_get": f"SELECT q.key, s.value FROM (SELECT 'cust_' || unnest([1, 2, 4, 5, 7, 8, 99999999]) AS key) q LEFT JOIN ({orders}) s ON q.key = s.key",
+        "store_multi_get": f"SELECT q.key, s.key IS NOT NULL AS found, s.value FROM ({_KEYS}) q LEFT JOIN ({orders}) s ON q.key = s.key",
+        "store_scan": f"SELECT * FROM ({orders}) WHERE key >= 'cust_2' AND key < 'cust_5'",
+        "store_pending": f"SELECT k AS key, gone AS is_tombstone, v AS value, seq FROM ({_latest(_EVENTS)})",
+        "store_files": f"SELECT 1 AS level, f AS counter, count(*) AS n_entries, CAST(0 AS BIGINT) AS n_tombstones, min(key) AS smallest_key, max(key) AS largest_key, f + 1 AS run_rank FROM (SELECT key, (row_number() OVER (ORDER BY key) - 1) // {FILE_ENTRIES} AS f FROM ({orders})) GROUP BY f",
+        "store_stats": f"SELECT count(*) AS memtable_entries, CAST(sum(strlen(k) + 8 + coalesce(strlen(v), 0)) AS BIGINT) AS memtable_bytes, CAST(2 AS BIGINT) AS runs, max(seq) AS seq FROM ({_latest(_ORDERS, where=f'seq > (SELECT max(o_orderkey) * 2 // 3 FROM orders)')})",
         "stream_snapshot": live(_EVENTS),
+        "stream_state": f"SELECT k AS key, gone AS is_tombstone, v AS value, seq FROM ({_latest(_EVENTS)})",
     }

@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.binary import ALIGN, aligned, op_byte, record_bytes, record_crc
+from ledgerline.operators import ordered
 from ledgerline.schema import DEL, PUT
 
 #: A log beyond this many bytes is refused.
 MAX_BYTES = 1 << 30
+#: Records in an Arrow batch.
+BATCH = 16_384
+RECOVERED = "file string, offset long, op byte, key binary, value binary"
+#: Outcomes of recovery at a place.
+VALID, PADDING, SHORT, LENGTHS, CHECKSUM, TYPE = "valid", "padding", "short", "lengths", "checksum", "type"
 
 
 def _little(n, width: int = 4):
@@ -40,11 +46,15 @@ def encoded(ops: DataFrame) -> DataFrame:
 
 
 def layout(ops: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Where each record begins in its log (a log per value of the columns by): seq, offset, length."""
+    """Where each record begins in its log: seq, offset, length. One log of all operations is a running
+    sum over ranges of seq; with the columns by there is a log per value, each of bounded size."""
     length = aligned(record_bytes(F.col("key"), F.col("value")))
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     sized = ops.select(*(by or []), "seq", length.alias("length"))
-    return sized.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    if by:
+        order = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        return sized.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    total = ordered.running_sum(sized, ["seq"], "length", "offset")
+    return total.withColumn("offset", F.col("offset") - F.col("length"))
 
 
 def encode(op: int, key: bytes, value: bytes | None) -> bytes:
@@ -54,28 +64,47 @@ def encode(op: int, key: bytes, value: bytes | None) -> bytes:
     return plain + bytes(-len(plain) % ALIGN)
 
 
-def decode(data: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
-    """(offset, op, key, value) of the records that recovery accepts."""
+def walk(data: bytes) -> Iterator[tuple[int, int, int, int, str]]:
+    """What recovery makes of each place it looks at: offset, type, end of the key and of the value, and
+    the outcome. After anything but a valid record it goes on at the next 512-byte step."""
     if len(data) > MAX_BYTES:
         raise ValueError(f"the log has {len(data)} bytes; at most {MAX_BYTES} are recovered")
-    at, total = 0, len(data)
+    at, total, lengths, crc32, view = 0, len(data), struct.Struct("<BII").unpack_from, zlib.crc32, memoryview(data)
     while at < total:
-        step, kind = (at // ALIGN + 1) * ALIGN, data[at]
-        if kind and at + 9 <= total:
-            k, v = struct.unpack_from("<II", data, at + 1)
-            end = at + 13 + k + v
-            if end <= total:
-                key, value = data[at + 9 : at + 9 + k], data[at + 9 + k : end - 4]
-                (crc,) = struct.unpack_from("<I", data, end - 4)
-                if kind in (PUT, DEL) and crc == zlib.crc32(data[at : at + 1] + key + value):
-                    yield at, kind, key, value if kind == PUT else None
-                    step = at + (13 + k + v + ALIGN - 1) // ALIGN * ALIGN
-        at = step
+        kind = data[at]
+        if not kind:
+            yield at, 0, at, at, PADDING
+        elif at + 9 > total:
+            yield at, kind, at, at, SHORT
+        else:
+            _, k, v = lengths(data, at)
+            key_end = at + 9 + k
+            end = key_end + v
+            if end + 4 > total:
+                yield at, kind, at, at, LENGTHS
+            elif crc32(view[at + 9 : end], crc32(view[at : at + 1])) != int.from_bytes(view[end : end + 4], "little"):
+                yield at, kind, at, at, CHECKSUM
+            elif kind not in (PUT, DEL):
+                yield at, kind, at, at, TYPE
+            else:
+                yield at, kind, key_end, end, VALID
+                at += (13 + k + v + ALIGN - 1) // ALIGN * ALIGN
+                continue
+        at = (at // ALIGN + 1) * ALIGN
+
+
+def decode(data: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """(offset, op, key, value) of the records that recovery accepts."""
+    for at, kind, key_end, end, outcome in walk(data):
+        if outcome is VALID:
+            yield at, kind, data[at + 9 : key_end], data[key_end:end] if kind == PUT else None
 
 
 def write_log(path: str, ops: Iterable[tuple[int, bytes, bytes | None]]) -> None:
-    """Append operations to a local log file, resuming at its end, and force them to disk."""
+    """Append operations to a local log file, resuming at its end, and force them to disk. Behind a torn
+    write it resumes at the next 512-byte step, where recovery looks again."""
     with open(path, "ab") as f:
+        f.write(bytes(-f.tell() % ALIGN))
         for op, key, value in ops:
             f.write(encode(op, key, value))
         f.flush()
@@ -89,29 +118,65 @@ def clear_log(path: str) -> None:
     os.rename(path + ".tmp", path)
 
 
-def recover(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, op, key and value of the accepted records of all logs under path. A missing path
-    gives no rows."""
-    ddl = "file string, offset long, op byte, key binary, value binary"
+def _logs(spark: SparkSession, path: str) -> DataFrame | None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) in (None, []):
-        return spark.createDataFrame([], ddl)
-    files = spark.read.format("binaryFile").load(path)
-    if files.filter(F.col("length") > MAX_BYTES).head(1):
+        return None
+    files_ = spark.read.format("binaryFile").load(path)
+    if files_.filter(F.col("length") > MAX_BYTES).head(1):
         raise ValueError(f"a log under {path} has more than {MAX_BYTES} bytes")
+    return files_.select("path", "content")
+
+
+def recover(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, op, key and value of the accepted records of all logs under path. A missing path
+    gives no rows."""
+    logs = _logs(spark, path)
+    return spark.createDataFrame([], RECOVERED) if logs is None else logs.mapInArrow(decode_batches, RECOVERED)
+
+
+def decode_batches(batches):
+    """Arrow batches of a name and a log's bytes, as batches of the accepted records."""
+    for batch in batches:
+        for name, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            data, records = data or b"", []
+            for record in decode(data):
+                records.append(record)
+                if len(records) == BATCH:
+                    yield _records(name, records)
+                    records = []
+            yield _records(name, records)
+
+
+def _records(name, rows: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int8(), pa.binary(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.record_batch([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["file", "offset", "op", "key", "value"])
+
+
+def warnings(logs: DataFrame) -> DataFrame:
+    """What recovery warns of in logs (a name and the bytes): per log the outcome (lengths, checksum or
+    type), at how many places it was met, and the first of them: file, outcome, places, first_offset.
+    Padding and a tail too short for lengths are passed over in silence."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                rows = list(decode(data))
-                yield pa.record_batch([pa.array([name] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int8(), pa.binary(), pa.binary())))], names=["file", "offset", "op", "key", "value"])
+                met = [(w[4], w[0]) for w in walk(data or b"") if w[4] in (LENGTHS, CHECKSUM, TYPE)]
+                yield pa.record_batch([pa.array([name] * len(met), pa.string()), pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.int64())], names=["file", "outcome", "offset"])
+
+    met = logs.mapInArrow(run, "file string, outcome string, offset long")
+    return met.groupBy("file", "outcome").agg(F.count("*").alias("places"), F.min("offset").alias("first_offset"))
+
 
-    return files.select("path", "content").mapInArrow(run, ddl)
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """The warnings of all logs under path."""
+    logs = _logs(spark, path)
+    return warnings(spark.createDataFrame([], "path string, content binary") if logs is None else logs)
 
 
 def replay(recovered: DataFrame, after: int = 0) -> DataFrame:
-    """Recovered records as operations: seq follows file and offset, from after + 1 on. One log is one
-    sequence, so its records are numbered in one ordered pass."""
-    order = Window.orderBy("file", "offset")
-    return recovered.select((F.row_number().over(order) + after).cast("long").alias("seq"), "op", "key", "value")
+    """Recovered records as operations: seq follows file and offset, from after + 1 on."""
+    placed = ordered.numbered(recovered, ["file", "offset"], "_place")
+    return placed.select((F.col("_place") + (after + 1)).cast("long").alias("seq"), "op", "key", "value")

@@ -13,6 +13,9 @@ import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from ledgerline.functions.binary import parse_run_name
@@ -84,35 +87,38 @@ def parse_entries(data: bytes) -> Iterator[Entry]:
 
 
 class RunFile:
-    def __init__(self, path: str):
-        self.path = path
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
-            if size < 16:
-                raise ValueError(f"{path}: no footer")
-            f.seek(size - 16)
-            self.index_at, filter_at = struct.unpack("<QQ", f.read(16))
-            if not self.index_at + 4 <= filter_at <= size - 32:
-                raise ValueError(f"{path}: footer out of bounds")
-            f.seek(self.index_at)
-            raw = f.read(filter_at - self.index_at)
-            f.seek(filter_at)
-            _, blocks = struct.unpack("<QQ", f.read(16))
-            if max(1, blocks) * 64 > size - filter_at - 32:
-                raise ValueError(f"{path}: filter out of bounds")
-            self.filter = f.read(max(1, blocks) * 64)
+    """A run file, by its path or its bytes. The footer, index and filter are read at once, blocks when
+    they are needed."""
+
+    def __init__(self, source: str | bytes):
+        self.source = source
+        size = os.path.getsize(source) if isinstance(source, str) else len(source)
+        if size < 16:
+            raise ValueError(f"{self}: no footer")
+        self.index_at, filter_at = struct.unpack("<QQ", self._read(size - 16, size))
+        if not self.index_at + 4 <= filter_at <= size - 32:
+            raise ValueError(f"{self}: footer out of bounds")
+        raw, blocks = self._read(self.index_at, filter_at), struct.unpack("<QQ", self._read(filter_at, filter_at + 16))[1]
+        if max(1, blocks) * 64 > size - filter_at - 32:
+            raise ValueError(f"{self}: filter out of bounds")
+        self.filter = self._read(filter_at + 16, filter_at + 16 + max(1, blocks) * 64)
         (count,), at, self.index = struct.unpack_from("<I", raw, 0), 4, []
         for _ in range(count):
             if at + 12 > len(raw):
-                raise ValueError(f"{path}: index out of bounds")
+                raise ValueError(f"{self}: index out of bounds")
             (k,) = struct.unpack_from("<I", raw, at)
             if at + 12 + k > len(raw):
-                raise ValueError(f"{path}: index out of bounds")
+                raise ValueError(f"{self}: index out of bounds")
             self.index.append((raw[at + 4 : at + 4 + k], struct.unpack_from("<Q", raw, at + 4 + k)[0]))
             at += 12 + k
 
+    def __str__(self) -> str:
+        return self.source if isinstance(self.source, str) else "run file"
+
     def _read(self, begin: int, end: int) -> bytes:
-        with open(self.path, "rb") as f:
+        if not isinstance(self.source, str):
+            return self.source[begin:end]
+        with open(self.source, "rb") as f:
             f.seek(begin)
             return f.read(end - begin)
 
@@ -133,6 +139,33 @@ class RunFile:
         return [e for e in parse_entries(self._block(i)) if e[0] == key] if i >= 0 else []
 
 
+def encoded_runs(entries: DataFrame, run: str = "run") -> DataFrame:
+    """Each run's entries (key, is_tombstone, value) as a run file's bytes: run, data. A run is a file,
+    so its entries meet in one task; they are bounded by the flush limit or the entries of a file."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        rows = zip(*(table.column(n).to_pylist() for n in ("key", "is_tombstone", "value")), strict=True)
+        return pa.table({"run": table.column("run")[:1], "data": pa.array([encode_run((k, None if gone else v or b"") for k, gone, v in rows)], pa.binary())})
+
+    own = entries.select(F.col(run).cast("long").alias("run"), "key", "is_tombstone", "value")
+    return own.groupBy("run").applyInArrow(one, "run long, data binary")
+
+
+def decoded_runs(runs: DataFrame, keys: bytes | None = None) -> DataFrame:
+    """Run files as bytes (run, data), of any file system that Spark reads (format "binaryFile"), to
+    their entries, or those of one key: run, key, is_tombstone, value."""
+
+    def run(batches):
+        for batch in batches:
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = RunFile(data)
+                found = list(file.entries() if keys is None else file.find(keys))
+                yield pa.record_batch([pa.array([r] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.binary()), pa.array([v is None for _, v in found], pa.bool_()), pa.array([v for _, v in found], pa.binary())], names=["run", "key", "is_tombstone", "value"])
+
+    return runs.select("run", "data").mapInArrow(run, "run long, key binary, is_tombstone boolean, value binary")
+
+
 @dataclass
 class _File(InputPartition):
     path: str

@@ -3,9 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
-DATA = "/root/testdata/sf0.001"
+from store_helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,11 +34,3 @@ def duck():
     for name in os.listdir(DATA):
         con.sql(f"create view {name.removesuffix('.parquet')} as select * from '{DATA}/{name}'")
     return con
-
-
-def rows(df_or_rel):
-    """Rows with columns in order of name, sorted."""
-    columns = df_or_rel.columns
-    order = [columns.index(c) for c in sorted(columns)]
-    got = df_or_rel.fetchall() if hasattr(df_or_rel, "fetchall") else [tuple(r) for r in df_or_rel.collect()]
-    return sorted((tuple(r[i] for i in order) for r in got), key=repr)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, rows
+from store_helpers import DATA, rows
 
 from ledgerline.plans import catalog
 

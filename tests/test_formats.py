@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ledgerline.functions.binary import parse_run_name, run_name
-from ledgerline.operators import bloom
+from ledgerline.operators import bloom, ordered
 from ledgerline.operators.blocks import cut
 from ledgerline.schema import DEL, PUT
 from ledgerline.sources import log, run_file
@@ -91,6 +91,51 @@ def test_log_columns_equal_the_plain_encoder(spark, tmp_path):
     assert log.recover(spark, str(tmp_path / "none.log")).count() == 0
 
 
+def test_what_is_appended_behind_a_torn_write_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "wal.log")
+    log.write_log(path, OPS[:1])
+    with open(path, "ab") as f:
+        f.write(b"\1\2\0\0\0")
+    log.write_log(path, OPS[1:3])
+    assert decoded(open(path, "rb").read()) == OPS[:3]
+    assert log.damage(spark, path).collect()[0][1:] == ("checksum", 1, 512)
+
+
+def test_recovery_warns_of_what_it_passes_over(spark, tmp_path):
+    unknown = b"\3" + struct.pack("<II", 1, 0) + b"k"
+    unknown = (unknown + struct.pack("<I", zlib.crc32(b"\3k"))).ljust(512, b"\0")
+    far = (b"\1" + struct.pack("<II", 1 << 30, 0)).ljust(512, b"\0")
+    wrong = bytearray(log.encode(*OPS[0]))
+    wrong[9] ^= 1
+    with open(tmp_path / "a.log", "wb") as f:
+        f.write(unknown + bytes(512) + far + bytes(wrong) + far + log.encode(*OPS[0]) + b"\1\0")
+    got = {r["outcome"]: (r["places"], r["first_offset"]) for r in log.damage(spark, str(tmp_path / "a.log")).collect()}
+    assert got == {"type": (1, 0), "lengths": (2, 1024), "checksum": (1, 1536)}
+    assert log.damage(spark, str(tmp_path / "none.log")).count() == 0
+    assert log.recover(spark, str(tmp_path / "a.log")).count() == 1
+
+
+def test_layout_per_log(spark):
+    frame = spark.createDataFrame([(i, i % 2, *op) for i, op in enumerate(OPS)], "seq long, log int, op byte, key binary, value binary")
+    assert [(r["offset"], r["length"]) for r in log.layout(frame, ["log"]).orderBy("seq").collect()] == [(0, 512), (0, 512), (512, 512), (512, 2048)]
+
+
+def test_filters_of_several_segments(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "SEGMENT", 2)
+    keys = [f"k{i}".encode() for i in range(600)]
+    frame = spark.createDataFrame([(1, k) for k in keys] + [(2, b"one")], "run long, key binary")
+    got = {r["run"]: (r["n_keys"], bytes(r["filter"])) for r in bloom.build_filters(frame).collect()}
+    assert got == {1: (600, bloom.build(keys, bloom.n_blocks(600))), 2: (1, bloom.build([b"one"], 1))}
+
+
+def test_running_sums_and_numbers(spark):
+    frame = spark.createDataFrame([(i * 7 % 100, i % 3) for i in range(100)], "at long, n long")
+    got = ordered.running_sum(frame, ["at"], "n", "total").orderBy("at").collect()
+    assert [r["total"] for r in got] == np.cumsum([r["n"] for r in got]).tolist()
+    assert [r["i"] for r in ordered.numbered(frame, ["at"], "i").orderBy("at").collect()] == list(range(100))
+    assert ordered.running_sum(frame.limit(0), ["at"], "n", "total").count() == 0
+
+
 def test_log_size_limit(monkeypatch):
     monkeypatch.setattr(log, "MAX_BYTES", 100)
     with pytest.raises(ValueError):

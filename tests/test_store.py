@@ -5,9 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from ledgerline import cli
-from ledgerline.operators import lookup
+from ledgerline.operators import lookup, resolve
 from ledgerline.schema import DEL, OPS, PUT
-from ledgerline.sources import log
+from ledgerline.sources import files, log
 from ledgerline.store import Store
 from ledgerline.streaming import ingest
 
@@ -67,13 +67,70 @@ def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatc
     with pytest.raises(OSError):
         store.flush()
     monkeypatch.undo()
-    store._lock.close()
+    store.files.unlock()
     with Store(spark, path) as again:
         assert held(again) == {b"a": b"1"} and again.stats()["runs"] == 0
         assert any(x.startswith("runs/") for x in again.vacuum())
         assert held(again) == {b"a": b"1"}
+
+
+def test_late_operations_count_by_seq(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s")) as store:
+        batch = lambda *rows: store.apply(spark.createDataFrame(list(rows), OPS))
+        batch((10, PUT, b"a", b"new"), (11, DEL, b"b", None))
+        batch((3, PUT, b"a", b"old"), (4, PUT, b"b", b"old"), (5, PUT, b"c", b"only"))
+        assert held(store) == {b"a": b"new", b"c": b"only"} and store.stats()["seq"] == 11
+        store.compact()  # the deletion of b is forgotten, so nothing older may come any more
+        assert held(store) == {b"a": b"new", b"c": b"only"} and store.stats()["memtable_entries"] == 0
         with pytest.raises(ValueError):
-            again.apply(spark.createDataFrame([(0, PUT, b"late", b"")], OPS))
+            batch((9, PUT, b"b", b"older"))
+        batch((12, PUT, b"b", b"newer"))
+        assert held(store)[b"b"] == b"newer"
+
+
+def test_a_failed_compaction_leaves_nothing(spark, tmp_path, monkeypatch):
+    with Store(spark, str(tmp_path / "s")) as store:
+        store.put(b"a", b"1")
+        store.flush()
+        before = store.manifest().collect()
+        monkeypatch.setattr(resolve, "run_statistics", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+        with pytest.raises(RuntimeError):
+            store.compact()
+        monkeypatch.undo()
+        assert store.manifest().collect() == before and len(os.listdir(tmp_path / "s" / "runs")) == 1
+        store.compact(only_if_due=True)
+        assert store.manifest().collect() == before
+
+
+def test_any_file_system(spark, tmp_path, monkeypatch):
+    hadoop = lambda spark, path: files.Hadoop(spark, path)
+    monkeypatch.setattr(files, "folder", hadoop)
+    path = f"file://{tmp_path}/s"
+    with Store(spark, path, l1_entries=2, l0_runs=2) as store:
+        assert isinstance(store.files, files.Hadoop)
+        store.write_many([(PUT, k, k) for k in (b"a", b"b", b"c", b"\xff")])
+        with pytest.raises(RuntimeError):
+            Store(spark, path)
+        store.flush()
+        store.delete(b"b")
+        store.flush()
+        assert [r["n_entries"] for r in store.manifest().orderBy("counter").collect()] == [2, 1]
+        with pytest.raises(FileExistsError):
+            store.files.publish(f"manifest/{store._state['version']:010d}.json", b"{}")
+    with Store(spark, path) as store:
+        assert held(store) == {b"a": b"a", b"c": b"c", b"\xff": b"\xff"} and store.get(b"c") == b"c"
+    files.Hadoop(spark, path).lock()
+    files.break_lock(spark, path)
+    Store(spark, path).close()
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_folders_named_in_any_form(spark, tmp_path, form):
+    with Store(spark, form.format(tmp_path / "s")) as store:
+        store.put(b"a", b"1")
+        store.flush()
+        assert held(store) == {b"a": b"1"}
+    assert (tmp_path / "s" / "manifest").is_dir()
 
 
 def test_batch_reads(spark, tmp_path):
