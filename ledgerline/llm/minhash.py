@@ -20,8 +20,8 @@ implied, for buckets of any size, and no block outgrows a task.
 
 With similarity s a band matches with probability s^r; at 0.85, r = 4 and 24 bands a link has no
 bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The further bands of crowded buckets
-miss one with 5e-12 at most (at 0.8: 6e-11 in the first level, 6e-6 in the second). The sketch cut lies
-five standard deviations below the threshold.
+miss one with 1e-7 at most (at 0.8 in the second level: 6e-6). The sketch cut lies five standard
+deviations below the threshold.
 
 Cases: null and empty texts, and texts without words, have n_shingles 0, are linked with nothing and
 are kept; with fewer words than w the whole sequence is the one shingle; rows repeating a document id
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, documents, materialize, mix64, release, schema_of, slices
+from ledgerline.llm.common import U, claim, documents, materialize, mix64, release, schema_of, slices
 from ledgerline.llm.graph import components
 
 #: Word hashes a worker keeps; emptied beyond it.
@@ -50,10 +50,10 @@ MEMO = 400_000
 SAMPLES, BITS = 128, 512
 FINE_SAMPLES, FINE_BITS = 2048, 8192
 ROWS = 4
-#: Members of a bucket in one block, and by how many of the finer samples in how many bands the members
-#: of larger buckets are parted, level after level.
+#: Members of a bucket in one block, by bands of how many of the finer samples the members of larger
+#: buckets are parted, level after level, and the share of links that the bands of a level may miss.
 BLOCK = 256
-LEVELS = ((8, 128), (12, 170))
+LEVELS, MISSED = (8, 12), 1e-7
 #: Standard deviations below the threshold at which sketches drop a pair.
 SPREAD = 5
 
@@ -73,6 +73,7 @@ def shingles(text: str, w: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, U)
+    claim("minhash", _words.clear)
     if len(_words) > MEMO:
         _words.clear()
     if len(words) < w:
@@ -120,6 +121,11 @@ def band_keys(mins: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def further_bands(similarity: float, rows: int) -> int:
+    """As many bands of so many finer samples as miss no more than MISSED of the links, if there are."""
+    return min(math.ceil(math.log(MISSED) / math.log1p(-(similarity**rows))), FINE_SAMPLES // rows)
+
+
 def most_bits(similarity: float, samples_: int = SAMPLES, bits: int = BITS) -> int:
     """The XOR population count to expect SPREAD standard deviations below a similarity. The deviation
     is that of the samples and, much smaller, that of flips which meet in one bit."""
@@ -221,7 +227,8 @@ def _later(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: Data
         crowded = mixed.filter(F.col("size") > BLOCK).select("key").distinct()
         done = last or crowded.isEmpty()
         if not done:
-            rows, count = LEVELS[level]
+            rows = LEVELS[level]
+            count = further_bands(similarity, rows)
             further = _sampled(texts.join(crowded, "key"), w, lambda m, rows=rows, count=count: pa.array(list(band_keys(m, count, rows)), pa.list_(pa.int64())), "bands", "array<bigint>")
             bands = materialize(further, "bands")
             members = materialize(bands.select("key", F.explode("bands").alias("band")), "members")
