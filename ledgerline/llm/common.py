@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -16,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go at its end, and batches for Python are of few bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _written: dict[str, SparkSession] = {}
 _watching: list[list[str]] = []
 
@@ -42,12 +46,14 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     release(), and at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{os.getpid()}-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {name: spark.conf.get(name) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     _written[path] = spark
     for seen in _watching:
         seen.append(path)
@@ -107,6 +113,20 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
+_claimed: list = []
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Of a Python worker, which goes from one operator's tasks to another's: what the operator before
+    has kept is dropped."""
+    if _claimed and _claimed[0] != owner:
+        _claimed[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _claimed[:] = [owner, drop]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = (x ^ (x >> U(30))) * MIX1

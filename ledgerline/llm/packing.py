@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, schema_of, slices
+from ledgerline.llm.common import claim, documents, schema_of, slices
 from ledgerline.llm.token_counts import _byte_letters
 
 MEMO = 600_000
@@ -81,6 +81,7 @@ class Ids:
 @lru_cache(maxsize=4)
 def encoder(path: str, end_id: int) -> Ids:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    claim("packing", encoder.cache_clear)
     return Ids(path, end_id)
 
 

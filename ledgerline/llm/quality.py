@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, materialize, mix64, slices
+from ledgerline.llm.common import U, claim, materialize, mix64, slices
 
 #: Target documents at most; buckets of words (twice) and of pairs; what log weights are multiplied by
 #: before sampling, and the floor that a Gumbel number must lift them over.
@@ -62,6 +62,7 @@ _chunks = _Chunks()
 
 def _buckets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text: the two buckets of each word or mark, and the two of each pair."""
+    claim("quality", _chunks.clear)
     if len(_chunks) > MEMO:
         _chunks.clear()
     parts = text.split()
