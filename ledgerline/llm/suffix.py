@@ -1,19 +1,21 @@
 """Repeated byte strings across documents by bucket-pointer refinement of suffixes.
 
 To find every L-byte string that starts earlier too, suffixes need sorting to depth L only, and only
-where a repeat is possible. Bucket identifiers are hashes, so that they mean the same in every task;
-a suffix's bucket at depth 2k is made from its bucket at depth k and that of the suffix k bytes on,
-so each update is reused for the next: q-grams of 32 bytes in five steps, depth 64 in one more, depth
-100 from two overlapping ones of 64.
+where a repeat is possible.
 
 1. Each L-byte window names its anchor, the q-gram in it with the least identifier (the first of
    equals). Equal windows have equal anchors at equal places, and about two in L - q positions are
-   anchors. Anchors and the range of windows each stands for are written.
+   anchors. Anchors and the range of windows each stands for are written. An identifier is a hash of
+   the q-gram, so it means the same in every task.
 2. Initial buckets: anchors are counted by identifier; buckets of one are settled and dropped.
-3. Refinement: the windows of anchors in shared buckets are brought together by bucket, refined to
-   depth L and sorted by bucket, document and start. All but the first of a bucket are repeats. A
-   bucket too large for one task is refined before the shuffle instead: its windows go by their
-   depth-L identifiers, whose earliest start is a pre-aggregated minimum.
+3. The bytes that the windows of an anchor in a shared bucket cover are brought together by bucket.
+   Equal stretches are one, and all but the earliest are repeats. What differs is refined in rounds:
+   suffixes are sorted inside their buckets by the buckets of the suffixes q bytes on, which gives
+   depth 2q; buckets of one are dropped; the buckets of double depth, made of those at hand, are the
+   keys of the next round. At depth L all but the first of a bucket are repeats, if the bytes of the two
+   are equal.
+   A bucket too large for one task goes by 128-bit identifiers of its windows instead, whose earliest
+   start is a pre-aggregated minimum.
 4. Repeats are merged to byte ranges by document and cut.
 
 Cases: null and empty texts have no bytes; texts shorter than L keep all; a text that repeats itself
@@ -89,20 +91,22 @@ def _anchors(data: np.ndarray, length: int):
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
-_PACKED = schema_of(("doc", pa.int64()), ("anchors", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())]))))
-_CONTEXT = schema_of(("h", pa.int64()), ("doc", pa.int64()), ("salt", pa.int64()), ("first", pa.int64()), ("context", pa.binary()))
-_WINDOW = schema_of(("w", pa.int64()), ("doc", pa.int64()), ("salt", pa.int64()), ("first", pa.int64()))
-_RANGE = schema_of(("doc", pa.int64()), ("salt", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()))
+_PACKED = schema_of(("known", pa.bool_()), ("doc", pa.int64()), ("salt", pa.int64()), ("anchors", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())]))))
+#: What names a text: whether its id is known, the id, and the text's hash.
+_TEXT = ("known", "doc", "salt")
+_CONTEXT = schema_of(("h", pa.int64()), ("known", pa.bool_()), ("doc", pa.int64()), ("salt", pa.int64()), ("first", pa.int64()), ("context", pa.binary()))
+_WINDOW = schema_of(("w", pa.int64()), ("v", pa.int64()), ("known", pa.bool_()), ("doc", pa.int64()), ("salt", pa.int64()), ("first", pa.int64()))
+_RANGE = schema_of(("known", pa.bool_()), ("doc", pa.int64()), ("salt", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()))
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Per document its anchors: identifier and, packed, the first window (from bit 7 on) and how many
-    windows follow (7 bits)."""
+    """Per text its anchors: identifier and, packed, the first window (from bit 7 on) and how many windows
+    follow (7 bits)."""
 
     def run(batches):
         for part in slices(batches, limit=1 << 20):
             ids, flat, ends = [], [], [0]
-            for text in part.column(1).to_pylist():
+            for text in part.column(3).to_pylist():
                 got = _anchors(np.frombuffer(text.encode(), np.uint8), length)
                 if got:
                     h, _, first, last = got
@@ -111,80 +115,141 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                     ends.append(ends[-1] + len(h))
                 else:
                     ends.append(ends[-1])
-            none = np.zeros(0, np.int64)
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(ids or [none])), pa.array(np.concatenate(flat or [none]))], fields=list(_PACKED.field("anchors").type.value_type))
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(_PACKED.field("anchors").type)], schema=_PACKED)
+            none, kind = np.zeros(0, np.int64), _PACKED.field("anchors").type
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(ids or [none])), pa.array(np.concatenate(flat or [none]))], fields=list(kind.value_type))
+            yield pa.record_batch([*(part.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(kind)], schema=_PACKED)
 
-    return docs.mapInArrow(run, "doc long, anchors array<struct<h:long,at:long>>")
+    return docs.select(*_TEXT, "text").mapInArrow(run, "known boolean, doc long, salt long, anchors array<struct<h:long,at:long>>")
 
 
-def _contexts(joined: DataFrame, length: int, windows: bool) -> DataFrame:
-    """From documents with their anchors in shared buckets (at, h): the bytes that an anchor's windows
-    cover, or the windows themselves, refined to depth length."""
+def _cut(joined: DataFrame, length: int) -> DataFrame:
+    """From texts with their anchors in shared buckets: the bytes that an anchor's windows cover."""
 
     def run(batches):
         for part in slices(batches, rows=64, limit=1 << 20):
-            h, doc, salt, start, cut = [], [], [], [], []
-            for d, s, text, shared in zip(*(part.column(n).to_pylist() for n in ("doc", "salt", "text", "shared")), strict=True):
+            h, row, start, cut = [], [], [], []
+            for i, (text, shared) in enumerate(zip(part.column("text").to_pylist(), part.column("shared").to_pylist(), strict=True)):
                 raw = text.encode()
-                if windows:
-                    for a in shared:
-                        first = a["at"] >> 7
-                        w = buckets(np.frombuffer(raw[first : first + (a["at"] & 127) + length], np.uint8), length)
-                        h.append(mix64(w + U(a["h"] & (1 << 64) - 1)).view(np.int64))
-                        start.append(np.arange(first, first + len(w)))
-                        doc.append(np.full(len(w), d))
-                        salt.append(np.full(len(w), s))
-                    continue
+                for a in shared:
+                    h.append(a["h"])
+                    row.append(i)
+                    start.append(a["at"] >> 7)
+                    cut.append(raw[start[-1] : start[-1] + (a["at"] & 127) + length])
+            rows = pa.array(row, pa.int64())
+            yield pa.record_batch([pa.array(h, pa.int64()), *(part.column(n).take(rows) for n in _TEXT), pa.array(start, pa.int64()), pa.array(cut, pa.binary())], schema=_CONTEXT)
+
+    return joined.mapInArrow(run, "h long, known boolean, doc long, salt long, first long, context binary")
+
+
+def _refined(joined: DataFrame, length: int) -> DataFrame:
+    """The windows themselves, under 128-bit identifiers of their whole depth."""
+
+    def run(batches):
+        for part in slices(batches, rows=64, limit=1 << 20):
+            for i, (text, shared) in enumerate(zip(part.column("text").to_pylist(), part.column("shared").to_pylist(), strict=True)):
+                raw, w, v, start = text.encode(), [], [], []
                 for a in shared:
                     first = a["at"] >> 7
-                    piece = raw[first : first + (a["at"] & 127) + length]
-                    if len(piece) >= length:  # another row of the same id may be shorter
-                        h.append(a["h"])
-                        doc.append(d)
-                        salt.append(s)
-                        start.append(first)
-                        cut.append(piece)
-            if windows:
-                if h:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (h, doc, salt, start)], schema=_WINDOW)
-            else:
-                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(salt, pa.int64()), pa.array(start, pa.int64()), pa.array(cut, pa.binary())], schema=_CONTEXT)
-
-    if windows:
-        return joined.mapInArrow(run, "w long, doc long, salt long, first long")
-    return joined.mapInArrow(run, "h long, doc long, salt long, first long, context binary")
+                    piece = np.frombuffer(raw[first : first + (a["at"] & 127) + length], np.uint8)
+                    w.append(mix64(buckets(piece, length) + U(a["h"] & (1 << 64) - 1)).view(np.int64))
+                    v.append(buckets(piece[::-1], length)[::-1].view(np.int64))
+                    start.append(np.arange(first, first + len(w[-1])))
+                rows = pa.array(np.full(sum(map(len, w)), i))
+                yield pa.record_batch([pa.array(np.concatenate(w)), pa.array(np.concatenate(v)), *(part.column(n).take(rows) for n in _TEXT), pa.array(np.concatenate(start))], schema=_WINDOW)
+
+    return joined.mapInArrow(run, "w long, v long, known boolean, doc long, salt long, first long")
+
+
+def _sorted_buckets(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: suffixes sorted by the identifiers of their buckets at a later offset, inside their
+    buckets so far. What stands in buckets of several, in order, and their new buckets."""
+    order = np.lexsort((key, bucket))
+    bucket, key = bucket[order], key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
+    number = np.cumsum(new)
+    several = np.bincount(number)[number] > 1
+    return order[several], number[several]
+
+
+def _settle(table: pa.Table, length: int) -> pa.RecordBatch:
+    """The ranges of whole buckets' windows that start earlier too."""
+    h, known, doc, salt, first = (table.column(n).to_numpy() for n in ("h", "known", "doc", "salt", "first"))
+    pieces = table.column("context").to_pylist()
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    # equal contexts are one, that of the earliest start; the others are repeats as a whole
+    order = np.lexsort((first, doc, known, h))
+    lead, leader, anchor = {}, np.zeros(len(h), np.int64), h.tolist()
+    for i in order.tolist():
+        leader[i] = lead.setdefault((anchor[i], pieces[i]), i)
+    same = (doc == doc[leader]) & (known == known[leader]) & (first == first[leader])
+    whole = np.flatnonzero(~same)
+    kept = np.unique(leader)
+    # the windows of the contexts that differ, in the buckets of their anchors
+    data = np.frombuffer(b"".join([pieces[i] for i in kept.tolist()]), np.uint8)
+    n = sizes[kept] - length + 1
+    at = np.cumsum(sizes[kept]) - sizes[kept]
+    row = np.repeat(np.arange(len(kept)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place, bucket = at[row] + step, np.cumsum(np.diff(h[kept], prepend=h[kept[:1]] if len(kept) else 0) != 0)[row]
+    ids, live, depth = buckets(data, Q), np.arange(len(row)), Q
+    later = 0
+    while len(live):
+        pick, bucket = _sorted_buckets(bucket, ids[place[live] + later])
+        live = live[pick]
+        if later + depth == length:
+            break
+        if later and 2 * depth <= length:
+            # every suffix's bucket of twice the depth, from its own and that of the suffix a depth on
+            ids, depth = refine(ids, depth), 2 * depth
+        later = min(later + depth if later == 0 else depth, length - depth)
+    begin, end = [first[whole]], [first[whole] + sizes[whole]]
+    rows = [whole]
+    if len(live):
+        source = kept[row[live]]
+        start = first[source] + step[live]
+        order = np.lexsort((start, doc[source], known[source], bucket))
+        bucket, source, start, live = bucket[order], source[order], start[order], live[order]
+        head = np.diff(bucket, prepend=-1) != 0
+        of = np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))
+        again = ~((doc[source] == doc[source[of]]) & (known[source] == known[source[of]]) & (start == start[of]))
+        mine, its = place[live[again]], place[live[of[again]]]
+        source, start = source[again], start[again]
+        # runs of windows that follow one another, in a context and in what they repeat
+        order = np.lexsort((mine, source))
+        mine, its, source, start = mine[order], its[order], source[order], start[order]
+        cut = np.ones(len(mine), bool)
+        cut[1:] = (np.diff(mine) != 1) | (np.diff(its) != 1) | (np.diff(source) != 0)
+        a = np.flatnonzero(cut)
+        count = np.diff(np.append(a, len(mine)))
+        wide = count + length - 1
+        inner = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        equal = data[np.repeat(mine[a], wide) + inner] == data[np.repeat(its[a], wide) + inner]
+        if not equal.all():  # buckets of equal identifiers and other bytes: only whole equal runs count
+            good = np.logical_and.reduceat(equal, np.cumsum(wide) - wide)
+            a, count = _equal_runs(a, count, good, mine, its, data, length)
+        rows.append(source[a])
+        begin.append(start[a])
+        end.append(start[a] + count + length - 1)
+    rows = np.concatenate(rows)
+    return pa.record_batch([pa.array(known[rows]), pa.array(doc[rows]), pa.array(salt[rows]), pa.array(np.concatenate(begin)), pa.array(np.concatenate(end))], schema=_RANGE)
+
+
+def _equal_runs(a: np.ndarray, count: np.ndarray, good: np.ndarray, mine: np.ndarray, its: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs whose bytes differ somewhere, window by window: those windows that are equal."""
+    firsts, counts = list(a[good]), list(count[good])
+    for i, k in zip(a[~good].tolist(), count[~good].tolist(), strict=True):
+        for j in range(i, i + k):
+            if (data[mine[j] : mine[j] + length] == data[its[j] : its[j] + length]).all():
+                firsts.append(j)
+                counts.append(1)
+    return np.array(firsts, np.int64), np.array(counts, np.int64)
 
 
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """Byte ranges (doc, salt, begin, end) that repeat an earlier string, bucket by bucket."""
+    """Byte ranges that repeat an earlier string, bucket by bucket."""
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        h, doc, salt, first = (table.column(n).to_numpy() for n in ("h", "doc", "salt", "first"))
-        column = table.column("context").combine_chunks()
-        sizes = np.asarray(pa.compute.binary_length(column)).astype(np.int64)
-        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-        ids = buckets(data, length)
-        n = sizes - length + 1
-        row = np.repeat(np.arange(len(h)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        key = mix64(ids[np.repeat(np.cumsum(sizes) - sizes, n) + step] + h[row].view(U))
-        start = first[row] + step
-        order = np.lexsort((start, doc[row], key))
-        key, start, row = key[order], start[order], row[order]
-        new = np.diff(key, prepend=key[:1] ^ U(1)) != 0
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        again = (doc[row] != doc[row[lead]]) | (start != start[lead])
-        row, start = row[again], start[again]
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        head = np.ones(len(row), bool)
-        head[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-        at = np.flatnonzero(head)
-        tail = np.append(at[1:], len(row))[: len(at)] - 1
-        return pa.record_batch([pa.array(doc[row[at]]), pa.array(salt[row[at]]), pa.array(start[at]), pa.array(start[tail] + length)], schema=_RANGE)
-
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
@@ -206,15 +271,15 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                     break
                 full = later[ends[later] - ends[done] >= CHUNK]
                 stop = int(full[0]) if len(full) else int(later[-1])
-                yield settle(whole.slice(done, stop - done))
+                yield _settle(whole.slice(done, stop - done), length)
                 done = stop
             rest = whole.slice(done).combine_chunks()
             held = rest.to_batches()
             size = sum(b.column("context").nbytes for b in held) if done else size
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield _settle(pa.Table.from_batches(held), length)
 
-    return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, salt long, begin long, end long")
+    return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "known boolean, doc long, salt long, begin long, end long")
 
 
 _RESULT = schema_of(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
@@ -235,29 +300,34 @@ def repeated_ranges(df: DataFrame, length: int = 100, id_col: str = "doc_id", te
     are covered by strings which start earlier too."""
     if not Q + 1 <= length <= 2 * Q + 64:
         raise ValueError("length out of range")
-    spark = df.sparkSession
-    floor = F.lit(-(1 << 63)).cast("long")
     docs = documents(df, id_col, text_col)
-    named = docs.select(F.coalesce("doc_id", floor).alias("doc"), "doc_id", "text", F.xxhash64("text").alias("salt"))
-
-    found = materialize(anchors(named.select("doc", "text"), length), "anchors")
-    single = found.select("doc", F.explode("anchors").alias("a")).select("a.h", "doc", "a.at")
-    counts = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = single.join(counts, "h")
-    by_doc = materialize(shared.groupBy("doc").agg(F.collect_list(F.struct("at", "h", "n")).alias("shared")), "shared")
-    release(found)
-
-    joined = named.join(by_doc, "doc")
-    pick = lambda large: joined.withColumn("shared", F.filter("shared", lambda a: (a["n"] > LARGE) == F.lit(large))).filter(F.size("shared") > 0).select("doc", "salt", "text", "shared")
-    ranges = materialize(_repeats(_contexts(pick(False), length, windows=False), length), "ranges")
-    if not by_doc.filter(F.exists("shared", lambda a: a["n"] > LARGE)).isEmpty():
-        windows = materialize(_contexts(pick(True), length, windows=True), "windows")
-        start = F.struct("doc", "first")
-        lead = windows.groupBy("w").agg(F.min(start).alias("lead"))
-        again = windows.join(lead, "w").filter(F.col("lead") != start)
-        ranges = ranges.unionByName(again.select("doc", "salt", F.col("first").alias("begin"), (F.col("first") + length).alias("end")))
-    lists = ranges.groupBy("doc", "salt").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-    return named.join(lists, ["doc", "salt"], "left").select("doc_id", "text", "ranges")
+    named = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc"), F.xxhash64("text").alias("salt"), "doc_id", "text")
+
+    found = materialize(anchors(named, length), "anchors")
+    single = found.select(*_TEXT, F.explode("anchors").alias("a")).select("a.h", *_TEXT, "a.at")
+    # written first, so that the join has plain inputs and Spark can split a very common bucket
+    counts = materialize(single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    shared = materialize(single.join(counts, "h"), "shared")
+    release(found, counts)
+    by_text = materialize(shared.groupBy(*_TEXT).agg(F.collect_set(F.struct("at", "h", "n")).alias("shared")), "anchors")
+    release(shared)
+
+    joined = named.join(by_text, list(_TEXT))
+    pick = lambda large: joined.withColumn("shared", F.filter("shared", lambda a: (a["n"] > LARGE) == F.lit(large))).filter(F.size("shared") > 0).select(*_TEXT, "text", "shared")
+    ranges = materialize(_repeats(_cut(pick(False), length), length), "ranges")
+    over = None
+    if not by_text.filter(F.exists("shared", lambda a: a["n"] > LARGE)).isEmpty():
+        windows = materialize(_refined(pick(True), length), "windows")
+        start = F.struct("known", "doc", "first")
+        lead = materialize(windows.groupBy("w", "v").agg(F.min(start).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "lead")
+        again = windows.join(lead, ["w", "v"]).filter(F.col("lead") != start)
+        over = materialize(again.select(*_TEXT, F.col("first").alias("begin"), (F.col("first") + length).alias("end")), "ranges")
+        release(windows, lead)
+    release(by_text)
+    every = ranges.unionByName(over) if over else ranges
+    lists = materialize(every.groupBy(*_TEXT).agg(F.collect_set(F.struct("begin", "end")).alias("ranges")), "ranges")
+    release(ranges, *([over] if over else []))
+    return named.join(lists.hint("merge"), list(_TEXT), "left").select("doc_id", "text", "ranges")
 
 
 def drop_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
