@@ -3,8 +3,9 @@
 The merges of a piece of text are deterministic, and the encoding of a prefix is the encoding of a
 shorter prefix plus one last token. So for each prefix in turn the last token is the one vocabulary
 entry ending there that may stand after the shorter prefix's last token: a pair may stand if
-encoding both together gives the two again. One sweep stores the exact count at every prefix, and
-questions of truncation and budget are lookups in the stored table.
+encoding both together gives the two again. One sweep gives the exact count at every prefix; tables of
+the steps from one count to the next are written, and questions of length, truncation and budget are
+answered from them.
 
 Cases: a null or empty text has no bytes and no tokens; repeated rows give repeated results; a text
 of any length is handled in time linear in it; an empty table gives an empty result; columns other
@@ -23,19 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, schema_of, slices
+from ledgerline.llm.common import claim, documents, materialize, schema_of, slices
 
 #: Entries a worker keeps of what it has counted; the table is emptied beyond it.
-MEMO = 1_000_000
+MEMO = 400_000
 # Fixed value: the pattern that splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the split above and the library's own agree.
 _PLAIN = re.compile(r"[\x00-ԯ]*\Z")
-_SPACES = re.compile(r" \s* ")
+#: White space beside a space.
+_BESIDE = re.compile(r"\s | \s")
 #: A chunk of plain letters, and a mark after them, which is a piece by itself.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 
 
+#: Pieces of which two characters are two pieces.
+_SPLIT_SHORT = frozenset(["'re", "'ve", "'ll"])
+
+
+def _packed(steps: np.ndarray) -> bytes:
+    if steps.size and np.abs(steps).max() > 32767:
+        raise OverflowError("a count changes by more than 32,767 with one character")
+    return steps.astype("<i2").tobytes()
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -63,8 +75,10 @@ class PrefixCounter:
         self._cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(PIECES)
         self._library = Tokenizer.from_file(path).pre_tokenizer
+        self._run = regex.compile(r"\s\s+")
         self._pairs: dict[int, bool] = {}
-        self._chunks: dict[str, int] = {}
+        self._chunks: dict[str, bytes] = {}
+        self._pieces_known: dict[str, bytes] = {}
 
     def _merge(self, data: bytes) -> list[int]:
         """Plain merging, for short strings only."""
@@ -106,121 +120,141 @@ class PrefixCounter:
             return self._pieces.findall(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
-    def _chunk(self, text: str) -> int:
-        return sum(self.prefixes(p.encode())[-1] for p in self._split(text))
+    def _steps(self, piece: str) -> np.ndarray:
+        """By how much the count changes with each character of one piece."""
+        counts = np.array(self.prefixes(piece.encode()))
+        if not piece.isascii():
+            counts = counts[np.cumsum([0, *(len(c.encode()) for c in piece)])]
+        if piece in _SPLIT_SHORT:  # without its last letter it is two pieces
+            counts[2] = counts[1] + self.prefixes(piece[1].encode())[-1]
+        return np.diff(counts)
+
+    def _kept(self, piece: str) -> bytes:
+        found = self._pieces_known[piece] = _packed(self._steps(piece))
+        return found
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text. Where single spaces separate chunks, no piece crosses the start of
-        one, so counts of chunks are kept and added."""
-        if not text:
-            return 0
+    def _chunk(self, text: str) -> bytes:
+        """The steps of a text without special strings."""
+        known, parts = self._pieces_known, []
+        for piece in self._split(text):
+            parts.append(known.get(piece) or self._kept(piece))
+        if not self._run.search(text):
+            return b"".join(parts)
+        # a prefix that ends in white space has the whole run up to there as one piece
+        counts = np.cumsum(np.frombuffer(b"".join(parts), np.int16), dtype=np.int64)
+        for m in self._run.finditer(text):
+            begin, end = m.span()
+            before = int(counts[begin - 1]) if begin else 0
+            counts[begin:end] = before + np.cumsum(self._steps(m[0]))
+        return _packed(np.diff(counts, prepend=0))
+
+    def steps(self, text: str) -> bytes:
+        """By how much the count changes with each character of a whole text, as 16-bit integers. Where
+        single spaces separate chunks, no piece crosses the start of one, so steps of chunks are kept."""
         if self._cut_special and any(s in text for s in self.special):
-            parts = self._cut_special.split(text)
-            return len(parts) - 1 + sum(map(self.count, parts))
-        if not _PLAIN.match(text) or _SPACES.search(text):
+            return self._with_special(text)
+        if not _PLAIN.match(text) or _BESIDE.search(text):
             return self._chunk(text)
         first, *rest = text.split(" ")
-        known, total = self._chunks, 0
+        known = self._chunks
         try:
-            total = sum(map(known.__getitem__, rest))
+            parts = list(map(known.__getitem__, rest))
         except KeyError:
-            if len(known) > MEMO:
+            if len(known) > MEMO or len(self._pieces_known) > MEMO:
                 known.clear()
-            for chunk in rest:
-                n = known.get(chunk)
-                if n is None:
-                    m = _WORD.match(chunk)
-                    if m is None:
-                        n = self._chunk(" " + chunk)
-                    else:
-                        word = m[1]
-                        n = known.get(word) if m[2] else None
-                        if n is None:
-                            n = known[word] = self.prefixes(b" " + word.encode())[-1]
-                        if m[2]:
-                            n += self.prefixes(m[2].encode())[-1]
-                    known[chunk] = n
-                total += n
-        return total + self._chunk(first)
+                self._pieces_known.clear()
+            parts = [known.get(c) or self._new(c) for c in rest]
+        return self._chunk(first) + b"".join(parts)
+
+    def _new(self, chunk: str) -> bytes:
+        m = _WORD.match(chunk)
+        if m is None:
+            found = self._chunk(" " + chunk)
+        else:
+            found = self._pieces_known.get(" " + m[1]) or self._kept(" " + m[1])
+            if m[2]:
+                found += self._pieces_known.get(m[2]) or self._kept(m[2])
+        self._chunks[chunk] = found
+        return found
+
+    def _with_special(self, text: str) -> bytes:
+        """A special string is one token as a whole, and ordinary text up to its last character."""
+        out, at = [], 0
+        for m in self._cut_special.finditer(text):
+            steps = np.frombuffer(self._chunk(text[at : m.end()]), np.int16).copy()
+            steps[-1] = 1 - steps[m.start() - at : -1].sum(dtype=np.int64)
+            out.append(steps.tobytes())
+            at = m.end()
+        return b"".join(out) + self._chunk(text[at:])
+
+    def count(self, text: str) -> int:
+        return int(np.frombuffer(self.steps(text), np.int16).sum(dtype=np.int64))
 
     def table(self, text: str) -> np.ndarray:
         """Exact token counts of text[:k] for every k from 0 to len(text)."""
-        out = np.zeros(len(text) + 1, np.int64)
-        base = at = 0
-        spans = [m.span() for m in self._cut_special.finditer(text)] if self._cut_special else []
-        for start, end in [*spans, (len(text), len(text))]:
-            self._segment(text[at:start], base, out, at)
-            base = int(out[start])
-            for k in range(start + 1, end):  # inside the special string it is ordinary text still
-                before = int(out[at]) if at else 0
-                out[k] = before + self._chunk(text[at:k])
-            if end > start:
-                base += 1
-                out[end] = base
-            at = end
-        return out
-
-    def _segment(self, text: str, base: int, out: np.ndarray, at: int) -> None:
-        out[at] = base
-        pos, run_at, run_base = 0, -1, 0
-        for piece in self._split(text):
-            data, stop = piece.encode(), pos + len(piece)
-            counts = self.prefixes(data)
-            width = 0
-            for k, char in enumerate(piece, 1):
-                width += len(char.encode())
-                out[at + pos + k] = base + counts[width]
-                if char.isspace():  # a prefix ending in white space has the whole run as one piece
-                    if run_at < 0 or pos + k - 1 > run_at + run_len:
-                        run_at, run_base, run_len = pos + k - 1, int(out[at + pos + k - 1]), 0
-                    run_len = pos + k - run_at
-                    out[at + pos + k] = run_base + self.prefixes(text[run_at : pos + k].encode())[-1]
-            if len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
-                out[at + pos + 2] = base + counts[1] + self.prefixes(piece[1].encode())[-1]
-            base += counts[-1]
-            pos = stop
-            out[at + pos] = base if not piece[-1].isspace() else out[at + pos]
-        if pos:
-            out[at + pos] = out[at + pos] if text[-1].isspace() else base
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.steps(text), np.int16), dtype=np.int64)])
 
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    claim("token counts", counter.cache_clear)
     return PrefixCounter(path)
 
 
-_COUNTS = schema_of(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()))
+_TABLES = schema_of(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("steps", pa.binary()))
 
 
-def token_counts(df: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row."""
+def prefix_tables(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes (UTF-8) and steps: by how much the exact count changes with each character, as
+    little-endian 16-bit integers, whose running sum is the count at every prefix."""
 
     def run(batches):
-        count = counter(vocabulary).count
-        for part in slices(batches):
+        steps = counter(vocabulary).steps
+        for part in slices(batches, limit=1 << 20):
             texts = part.column(1).to_pylist()
-            yield pa.record_batch([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([count(t) for t in texts], pa.int64())], schema=_COUNTS)
+            yield pa.record_batch([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(list(map(steps, texts)), pa.binary())], schema=_TABLES)
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, steps binary")
 
 
-_TABLES = schema_of(("doc_id", pa.int64()), ("prefix_tokens", pa.list_(pa.int32())))
+_ANSWERS = schema_of(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_chars", pa.int64()), ("kept_tokens", pa.int64()))
 
 
-def prefix_tables(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and prefix_tokens: element k (from 0) is the exact count of the first k characters."""
+def answers(tables: DataFrame, budget: int) -> DataFrame:
+    """From stored tables, without encoding anything: doc_id, n_bytes, n_tokens, and where each document
+    is to be cut for a budget: n_chars, the most characters whose count is within it, and kept_tokens,
+    that count."""
 
     def run(batches):
-        table = counter(vocabulary).table
-        for part in slices(batches, limit=1 << 20):
-            yield pa.record_batch([part.column(0), pa.array([table(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], schema=_TABLES)
+        for part in slices(batches):
+            rows = []
+            for steps in part.column(2).to_pylist():
+                counts = np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)
+                n = int(np.flatnonzero(counts <= budget)[-1]) + 1 if len(counts) and counts.min() <= budget else 0
+                rows.append((int(counts[-1]) if len(counts) else 0, n, int(counts[n - 1]) if n else 0))
+            columns = list(zip(*rows, strict=True))
+            yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in columns)], schema=_ANSWERS)
+
+    return tables.select("doc_id", "n_bytes", "steps").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_chars long, kept_tokens long")
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, prefix_tokens array<int>")
 
+def token_counts(df: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), n_chars and kept_tokens of every row,
+    answered from the tables, which are written."""
+    tables = materialize(prefix_tables(df, vocabulary, id_col, text_col), "tables")
+    found = answers(tables, limit)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chars", "kept_tokens")
+
+
+def prefix_tokens(tables: DataFrame) -> DataFrame:
+    """The tables spelt out: doc_id and prefix_tokens, whose element k (from 0) is the exact count of the
+    first k characters."""
+    schema = schema_of(("doc_id", pa.int64()), ("prefix_tokens", pa.list_(pa.int32())))
+
+    def run(batches):
+        for part in slices(batches, limit=1 << 20):
+            counts = [np.concatenate([[0], np.cumsum(np.frombuffer(s, "<i2"), dtype=np.int64)]) for s in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
 
-def truncation_points(tables: DataFrame, budget: int) -> DataFrame:
-    """From stored tables, without encoding anything: the most characters of each document whose
-    count is within budget, as n_chars, and that count, as n_tokens."""
-    within = F.filter(F.sequence(F.lit(0), F.size("prefix_tokens") - 1), lambda k: F.get("prefix_tokens", k) <= budget)
-    return tables.withColumn("n_chars", F.array_max(within)).select("doc_id", "n_chars", F.get("prefix_tokens", F.col("n_chars")).cast("long").alias("n_tokens"))
+    return tables.select("doc_id", "steps").mapInArrow(run, "doc_id long, prefix_tokens array<int>")

@@ -339,11 +339,11 @@ def test_token_counts_equal_the_library(spark, empty):
         assert (x["n_bytes"], x["n_tokens"], x["over_limit"]) == (len(t.encode()), n, n > 512)
     assert token_counts.token_counts(empty, path).count() == 0
     r, count = random.Random(10), token_counts.counter(path)
-    letters = [*"ab '\n\t  eéñ1.!?日🙂̀ 　\xa0ת՘", "<|endoftext|>", "the ", "ing", "'re", "'s", "  ", "<|end", "Word,"]
+    letters = [*"ab '\n\t  eéñ1.!?日🙂̀ 　\xa0ת՘", "<|endoftext|>", "the ", "ing", "'re", "'s", "  ", "<|end", "Word,", "   ", " \n", "\n ", "'ll", "\x1c", "\x85"]
     for i in range(600):
         t = "".join(r.choice(letters) for _ in range(r.randint(0, 24)))
         assert count.count(t) == len(tok.encode(t, add_special_tokens=False).ids), t
-        if i < 150:
+        if i < 400:
             assert list(count.table(t)) == [len(tok.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)], t
 
 
@@ -351,10 +351,25 @@ def test_budgets_are_answered_from_stored_tables(spark):
     path = vocabulary("byte_bpe_50k.json")
     tables = token_counts.prefix_tables(H.frame(spark), path)
     texts, count = dict(pairs()), token_counts.counter(path)
-    for x in token_counts.truncation_points(tables, 20).collect():
+    for x in token_counts.answers(tables, 20).collect():
         t = texts[x["doc_id"]] or ""
         fits = [k for k in range(min(len(t), 200) + 1) if count.count(t[:k]) <= 20]
-        assert x["n_chars"] == fits[-1] and x["n_tokens"] == count.count(t[: x["n_chars"]])
+        assert x["n_chars"] == fits[-1] and x["kept_tokens"] == count.count(t[: x["n_chars"]]) and x["n_tokens"] == count.count(t)
+    spelt = {x["doc_id"]: list(x["prefix_tokens"]) for x in token_counts.prefix_tokens(tables).collect()}
+    assert all(spelt[d] == list(count.table(t or "")) for d, t in texts.items())
+
+
+@pytest.mark.parametrize("unit", [" ", "\n ", "a", "<|endoftext|>", "'re "])
+def test_tables_take_linear_time(unit):
+    import time
+
+    count, took = token_counts.counter(vocabulary("byte_bpe_50k.json")), []
+    for n in (4_000, 16_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        count.steps(text)
+        took.append(time.process_time() - began)
+    assert took[1] <= 10 * took[0] + 0.2
 
 
 # -- 9
