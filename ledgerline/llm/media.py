@@ -6,16 +6,19 @@ length, or none. The first confirmed hit at offset 0 gives the true type, which
 one; confirmed hits further on are embedded media and are carved out.
 
 Cases: a null blob is empty, of type none; an empty table gives an empty result; truncated or forged
-headers fail validation and count as hits only; overlapping hits are carved outermost first; other
-columns are ignored by the query and kept by sniff().
+headers fail validation and count as hits only; media inside others, of the same kind too, are carved,
+outermost first; a PDF ends at its last end mark whose cross-reference it holds, a ZIP archive at its
+central directory's end; other columns are ignored by the query and kept by sniff().
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from functools import lru_cache
+from bisect import bisect_right
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,9 +135,9 @@ def _ogg_table() -> list[int]:
     return out
 
 
-def _ogg(b: bytes, at: int):
-    pos, table = at, _ogg_table()
-    while pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS" and b[pos + 4] == 0:
+def _ogg(b: bytes, at: int, known: _Blob):
+    pos, table, pages, done = at, _ogg_table(), [], False
+    while not done and pos not in known.dead and pos + 27 <= len(b) and b[pos : pos + 4] == b"OggS" and b[pos + 4] == 0:
         n = b[pos + 26]
         end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
         if end > len(b):
@@ -144,10 +147,13 @@ def _ogg(b: bytes, at: int):
             crc = (crc << 8 & 0xFFFFFFFF) ^ table[crc >> 24 ^ byte]
         if crc != struct.unpack_from("<I", b, pos + 22)[0]:
             break
-        last, pos = b[pos + 5] & 4, end
-        if last:
-            return "ogg", pos - at
-    return None
+        pages.append(pos)
+        done, pos = bool(b[pos + 5] & 4), end
+    if not done:  # neither does any chain end that begins further on in this one
+        known.dead.update(pages)
+        return None
+    known.parts.update(pages[1:])
+    return "ogg", pos - at
 
 
 def _flac(b: bytes, at: int):
@@ -184,25 +190,74 @@ def _mp4(b: bytes, at: int):
     return ("mp4", pos - at) if kinds[:1] == [b"ftyp"] and b"moov" in kinds else None
 
 
-def _pdf(b: bytes, at: int):
-    end = b.find(b"%%EOF", at)
-    return ("pdf", end + 5 - at) if end > 0 and b.find(b"startxref", at, end) > 0 else None
+def _pdf(b: bytes, at: int, known: _Blob):
+    end = known.pdfs.get(at)
+    return ("pdf", end - at) if end else None
 
 
-def _zip(b: bytes, at: int):
-    pos = at
-    while pos + 30 <= len(b) and b[pos : pos + 4] == b"PK\x03\x04":
-        flags = struct.unpack_from("<H", b, pos + 6)[0]
-        size, _, name, extra = struct.unpack_from("<IIHH", b, pos + 18)
-        if flags & 8:
-            return None
-        pos += 30 + name + extra + size
-    while pos + 46 <= len(b) and b[pos : pos + 4] == b"PK\x01\x02":
-        pos += 46 + sum(struct.unpack_from("<HHH", b, pos + 28))
-    if pos + 22 <= len(b) and b[pos : pos + 4] == b"PK\x05\x06":
-        end = pos + 22 + struct.unpack_from("<H", b, pos + 20)[0]
-        return ("zip", end - at) if end <= len(b) else None
-    return None
+def _zip(b: bytes, at: int, known: _Blob):
+    if at not in known.zips:
+        return None
+    end, entries = known.zips[at]
+    known.parts.update(e for e in entries if e not in known.zips)
+    return "zip", end - at
+
+
+class _Blob:
+    """What is found once for all hits in a blob: the places that are parts of a confirmed medium, and
+    where media end that declare their beginning at their end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.parts, self.dead = data, set(), set()
+
+    @cached_property
+    def zips(self) -> dict[int, tuple[int, list[int]]]:
+        """By beginning, the end and the entries of archives, as their central directories say."""
+        b, found = self.data, {}
+        for m in _ZIP_END.finditer(b):
+            end = m.start()
+            if end + 22 > len(b):
+                break
+            n, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
+            begin, pos, entries = end - size - offset, end - size, []
+            while n and begin >= 0 and pos + 46 <= end and b[pos : pos + 4] == b"PK\x01\x02":
+                entries.append(begin + struct.unpack_from("<I", b, pos + 42)[0])
+                pos += 46 + sum(struct.unpack_from("<HHH", b, pos + 28))
+            good = n and n == len(entries) and pos == end and entries[0] >= begin and end + 22 + comment <= len(b)
+            if good and all(b[e : e + 4] == b"PK\x03\x04" for e in entries):
+                found[begin] = (end + 22 + comment, [e for e in entries if e != begin])
+        return found
+
+    @cached_property
+    def pdfs(self) -> dict[int, int]:
+        """By beginning, the last end whose cross-reference stands where the file says, counted from its
+        beginning; that of a linearised file's end stands in its first part."""
+        b, found, first_parts = self.data, {}, {}
+        begins = [m.start() for m in _PDF_BEGIN.finditer(b)]
+        tables = [m.start() for m in _PDF_TABLE.finditer(b)]
+        if not begins:
+            return found
+        own, at = set(begins), 0
+        for m in _PDF_END.finditer(b):
+            offset, here = int(m[1]), []
+            while at < len(tables) and tables[at] < m.start():
+                here.append(tables[at])
+                at += 1
+            owners = {x - offset for x in here} & own
+            if offset == 0:  # the first part of a linearised file
+                begin = begins[max(0, bisect_right(begins, m.start()) - 1)]
+                first_parts.update({x - begin: begin for x in here if x > begin})
+            elif not owners and offset in first_parts:
+                owners = {first_parts[offset]}
+            for begin in owners:
+                if begin < m.start():
+                    found[begin] = m.end()
+        return found
+
+
+_ZIP_END, _PDF_BEGIN = re.compile(rb"PK\x05\x06"), re.compile(rb"%PDF-")
+_PDF_TABLE = re.compile(rb"(?<!start)xref|(?<![0-9])[0-9]{1,10}\s{1,4}[0-9]{1,5}\s{1,4}obj")
+_PDF_END = re.compile(rb"startxref\s{1,8}([0-9]{1,12})\s{1,8}%%EOF")
 
 
 def _gzip(b: bytes, at: int):
@@ -219,7 +274,9 @@ def _gzip(b: bytes, at: int):
     return ("gzip", min(pos, len(b)) - len(work.unused_data) - at) if work.eof else None
 
 
-VALIDATORS = {"png": _png, "jpeg": _jpeg, "gif": _gif, "riff": _riff, "bmp": _bmp, "ogg": _ogg, "flac": _flac, "midi": _midi, "mp4": _mp4, "pdf": _pdf, "zip": _zip, "gzip": _gzip}
+VALIDATORS = {"png": _png, "jpeg": _jpeg, "gif": _gif, "riff": _riff, "bmp": _bmp, "flac": _flac, "midi": _midi, "mp4": _mp4, "gzip": _gzip}
+#: These use what is found once for a blob.
+SHARED = {"ogg": _ogg, "pdf": _pdf, "zip": _zip}
 
 
 @lru_cache(maxsize=1)
@@ -235,17 +292,16 @@ def _automaton():
 
 def scan(blob: bytes) -> tuple[int, list[tuple[int, int, str]]]:
     """The number of signature hits, and (start, end, type) of all confirmed media, outermost first."""
-    hits, media = 0, []
-    reach: dict[str, int] = {}
+    hits, media, known = 0, [], _Blob(blob)
     for last, (size, kind, offset) in _automaton().iter(blob.decode("latin-1")):
         at = last + 1 - size - offset
         hits += 1
-        # a format's parts inside what was confirmed already (pages, entries) aren't media of their own
-        if at < 0 or at < reach.get(kind, 0):
+        # pages and entries of a confirmed medium aren't media of their own; whatever else it holds may be
+        if at < 0 or at in known.parts:
             continue
-        if confirmed := VALIDATORS[kind](blob, at):
+        confirmed = SHARED[kind](blob, at, known) if kind in SHARED else VALIDATORS[kind](blob, at)
+        if confirmed:
             media.append((at, at + confirmed[1], confirmed[0]))
-            reach[kind] = at + confirmed[1]
     return hits, sorted(media, key=lambda m: (m[0], -m[1]))
 
 

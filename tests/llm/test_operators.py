@@ -417,7 +417,7 @@ def test_sniffing_confirms_corrects_and_carves(spark):
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("a.txt", "hello")
     bmp = b"BM" + struct.pack("<IIIIIIHH", 58, 0, 54, 40, 1, 1, 1, 24) + bytes(24 + 4)
-    whole = {"png": png(), "gif": GIF, "midi": MIDI, "gzip": gzip.compress(b"data"), "zip": buffer.getvalue(), "wav": media.store_samples(b"ab" * 9), "bmp": bmp, "pdf": b"%PDF-1.4\nx\nstartxref\n1\n%%EOF"}
+    whole = {"png": png(), "gif": GIF, "midi": MIDI, "gzip": gzip.compress(b"data"), "zip": buffer.getvalue(), "wav": media.store_samples(b"ab" * 9), "bmp": bmp, "pdf": PDF, "ogg": ogg_page(0) + ogg_page(4)}
     for kind, blob in whole.items():
         assert media.examine(blob, "text/plain")["type"] == kind and media.examine(blob, "text/plain")["length"] == len(blob), kind
         assert media.examine(blob[:-1] if kind != "bmp" else blob[:50], media.MIME[kind])["type"] == "none", kind
@@ -429,6 +429,86 @@ def test_sniffing_confirms_corrects_and_carves(spark):
     assert got[3]["type"] == got[4]["type"] == "none" and got[2]["hits"] >= 3
 
 
+PDF = b"%PDF-1.4\nxref\n0 1\nstartxref\n9\n%%EOF"
+
+
+def ogg_page(flags, body=b"sound"):
+    page = bytearray(b"OggS\0" + bytes([flags]) + bytes(20) + bytes([1, len(body)]) + body)
+    crc = 0
+    for byte in page:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x104C11DB7 if crc & 0x80000000 else 0)
+    page[22:26] = struct.pack("<I", crc)
+    return bytes(page)
+
+
+def jpeg(segment=b""):
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(segment)) + segment + b"\xff\xda\0\2\1\2\xff\0\3\xff\xd9"
+
+
+def test_media_inside_media_of_the_same_kind():
+    import io
+    import zipfile
+
+    def archive(*files, stream=False):
+        class Pipe(io.BytesIO):
+            def tell(self):
+                if stream:
+                    raise OSError
+                return super().tell()
+
+        out = Pipe()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    def found(blob):
+        return [(blob[s:e], t) for s, e, t in media.scan(blob)[1]]
+
+    small = media.store_samples(b"inner!")
+    big = media.store_samples(b"xx" + small + b"yy")
+    assert found(big) == [(big, "wav"), (small, "wav")]
+    assert media.examine(big, "audio/wav")["embedded"] == [(46, 46 + len(small), "wav")]
+    inner = archive(("a", b"1"), ("b", b"2"))
+    outer = archive(("first", b"0"), ("inner.zip", inner), ("last", b"3"))
+    assert found(outer) == [(outer, "zip"), (inner, "zip")]
+    streamed = archive(("a", b"1" * 50), ("b", b"2"), stream=True)
+    assert streamed[6] & 8 and found(b"junk" + streamed) == [(streamed, "zip")]
+    thumbnail = jpeg()
+    assert found(jpeg(b"Exif" + thumbnail)) == [(jpeg(b"Exif" + thumbnail), "jpeg"), (thumbnail, "jpeg")]
+    pages = ogg_page(2) + ogg_page(0) + ogg_page(4)
+    assert found(b"x" + pages + b"y") == [(pages, "ogg")] and found(ogg_page(2) + ogg_page(0)) == []
+    updated = PDF + b"\nxref\n0 2\nstartxref\n%d\n%%%%EOF" % (len(PDF) + 1)
+    assert found(b"ab" + updated + b"cd" + PDF) == [(updated, "pdf"), (PDF, "pdf")]
+    assert found(PDF[:9] + b"1 0 obj " + PDF + b" endobj\nxref\nstartxref\n%d\n%%%%EOF" % (9 + 8 + len(PDF) + 8))[1] == (PDF, "pdf")
+    assert found(b"%PDF-1.4 startxref\n7\n%%EOF") == []
+    linear = b"%PDF-1.4\nxref\n0 1\nstartxref\n0\n%%EOF\nxref\n0 9\nstartxref\n9\n%%EOF"
+    assert found(linear) == [(linear, "pdf")]
+
+
+def test_hits_equal_a_plain_search():
+    r = random.Random(4)
+    magic = [m for m, _, _ in media.MAGIC]
+    for _ in range(60):
+        blob = b"".join(r.choice([*magic, bytes([r.randint(0, 255)]), b"R", b"PK", png(), GIF]) for _ in range(r.randint(0, 40)))
+        assert media.scan(blob)[0] == sum(blob.startswith(m, i) for m in magic for i in range(len(blob)))
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-startxref ", b"%PDF-1 obj\nxref startxref\n5\n%%EOF ", b"PK\3\4" + bytes(26), b"PK\5\6" + bytes(18), b"OggS", b"RIFF\x20\0\0\0WAVE", b"\xff\xd8\xff\xda\0\2", b"\x1f\x8b\x08\0"])
+def test_scans_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        blob = unit * (n // len(unit))
+        began = time.process_time()
+        media.scan(blob)
+        took.append(time.process_time() - began)
+    assert took[1] <= 10 * took[0] + 0.2
+
+
 def test_media_digests_round_trip(spark, empty):
     texts = dict(pairs())
     for x in media.media_digests(H.frame(spark)).collect():
