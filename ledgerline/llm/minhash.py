@@ -213,30 +213,31 @@ def _later(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: Data
     Buckets of more than BLOCK members are parted by further bands, level after level; what is crowded
     still after the last is set against one another in blocks. Pairs that several buckets hold come
     from one of them."""
-    found, members, bands = [], shared, classes.select("key", "bands")
-    for level in range(len(LEVELS) + 1):
-        member = members.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
+    named = lambda df: df.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
+    found, held, bands = [], [], classes.select("key", "bands")
+    member = named(shared)
+    for rows in (*LEVELS, None):
         sizes = member.groupBy("band", "label").agg(F.count("*").alias("n"))
         buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
         mixed = materialize(member.join(buckets, "band"), "mixed")
         fine = _sampled(texts.join(mixed.select("key").distinct(), "key"), w, lambda m: pa.array([s.tobytes() for s in odd_sketches(m, FINE_BITS)], pa.binary()), "fine", "binary")
         about = materialize(bands.join(fine, "key"), "fine")
-        last = level == len(LEVELS)
-        found.append(materialize(_compared(mixed if last else mixed.filter(F.col("size") <= BLOCK), about, similarity), "near"))
-        release(about, *([members] if level else []))
+        small = mixed.filter(F.col("size") <= BLOCK) if rows else mixed
+        found.append(materialize(_compared(small, about, similarity), "near"))
+        release(about, *held)
         crowded = mixed.filter(F.col("size") > BLOCK).select("key").distinct()
-        done = last or crowded.isEmpty()
-        if not done:
-            rows = LEVELS[level]
-            count = further_bands(similarity, rows)
-            further = _sampled(texts.join(crowded, "key"), w, lambda m, rows=rows, count=count: pa.array(list(band_keys(m, count, rows)), pa.list_(pa.int64())), "bands", "array<bigint>")
-            bands = materialize(further, "bands")
-            members = materialize(bands.select("key", F.explode("bands").alias("band")), "members")
-        release(mixed)
-        if done:
+        if rows is None or crowded.isEmpty():
+            release(mixed)
             break
+        count = further_bands(similarity, rows)
+        further = _sampled(texts.join(crowded, "key"), w, lambda m, rows=rows, count=count: pa.array(list(band_keys(m, count, rows)), pa.list_(pa.int64())), "bands", "array<bigint>")
+        # labels are joined before the members of buckets are dealt out
+        parted = materialize(named(further), "bands")
+        bands, member = parted.select("key", "bands"), parted.select("key", "label", F.explode("bands").alias("band"))
+        release(mixed)
+        held = [parted]
     out = materialize(reduce(DataFrame.union, found).distinct(), "later")
-    release(*found, *([members, bands] if level else []))
+    release(*found)
     return out
 
 
