@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import claim, documents, materialize, schema_of, slices
 
-#: Entries a worker keeps of what it has counted; the table is emptied beyond it.
-MEMO = 400_000
+#: Chunks, and nodes of the trie of their prefixes, that a worker keeps; emptied beyond it.
+MEMO, NODES = 500_000, 800_000
 # Fixed value: the pattern that splits text before the merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point the split above and the library's own agree.
@@ -42,12 +43,6 @@ _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 _SPLIT_SHORT = frozenset(["'re", "'ve", "'ll"])
 
 
-def _packed(steps: np.ndarray) -> bytes:
-    if steps.size and np.abs(steps).max() > 32767:
-        raise OverflowError("a count changes by more than 32,767 with one character")
-    return steps.astype("<i2").tobytes()
-
-
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -57,6 +52,7 @@ def _byte_letters() -> dict[str, int]:
 
 class PrefixCounter:
     def __init__(self, path: str):
+        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -70,7 +66,10 @@ class PrefixCounter:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault((raw(left), raw(right)), rank)
         self.texts = {i: s for s, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self._tokens = ahocorasick.Automaton()  # finds the entries that end at each place
+        for token, i in self.ids.items():
+            self._tokens.add_word(token.decode("latin-1"), (len(token), i))
+        self._tokens.make_automaton()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self._cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pieces = regex.compile(PIECES)
@@ -79,6 +78,7 @@ class PrefixCounter:
         self._pairs: dict[int, bool] = {}
         self._chunks: dict[str, bytes] = {}
         self._pieces_known: dict[str, bytes] = {}
+        self._new_trie()
 
     def _merge(self, data: bytes) -> list[int]:
         """Plain merging, for short strings only."""
@@ -103,34 +103,56 @@ class PrefixCounter:
             found = self._pairs[key] = self._merge(self.texts[left] + self.texts[right]) == [left, right]
         return found
 
+    def _new_trie(self) -> None:
+        # of each node, which is a prefix of a piece, the last token and the count; the first is empty
+        self._child, self._last, self._count = {}, [-1], [0]
+
     def prefixes(self, piece: bytes) -> list[int]:
-        """The count at every byte prefix of one piece, from the empty one on."""
-        ids, longest, stands, n = self.ids, self.longest, self._stands, len(piece)
-        last, counts = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(piece[start:end])
-                if token is not None and (start == 0 or stands(last[start], token)):
-                    last[end], counts[end] = token, counts[start] + 1
-                    break
-        return counts
+        """The count at every byte prefix of one piece, from the empty one on. Prefixes that pieces share
+        are worked out once."""
+        if len(self._last) > NODES:
+            self._new_trie()
+        child, last, count, path, node = self._child, self._last, self._count, [0], 0
+        for byte in piece:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                break
+            path.append(node)
+        else:
+            return [count[n] for n in path]
+        have, node, known = len(path), path[-1], self._pairs.get
+        for at, (size, token) in self._tokens.iter(piece.decode("latin-1")):
+            if at + 1 < have:  # worked out already
+                continue
+            before = path[have - size]
+            if before:
+                stands = known(last[before] << 32 | token)
+                if stands is None:
+                    stands = self._stands(last[before], token)
+                if not stands:
+                    continue
+            key, node = node << 8 | piece[at], len(last)
+            child[key] = node
+            path.append(node)
+            last.append(token)
+            count.append(count[before] + 1)
+            have += 1
+        return [count[n] for n in path]
 
     def _split(self, text: str) -> list[str]:
         if _PLAIN.match(text):
             return self._pieces.findall(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
-    def _steps(self, piece: str) -> np.ndarray:
-        """By how much the count changes with each character of one piece."""
-        counts = np.array(self.prefixes(piece.encode()))
-        if not piece.isascii():
-            counts = counts[np.cumsum([0, *(len(c.encode()) for c in piece)])]
+    def _kept(self, piece: str) -> bytes:
+        """By how much the count changes with each character of one piece, as 16-bit integers."""
+        data = piece.encode()
+        counts = self.prefixes(data)
+        if len(data) > len(piece):
+            counts = [n for n, byte in zip(counts, data, strict=False) if byte & 0xC0 != 0x80] + counts[-1:]
         if piece in _SPLIT_SHORT:  # without its last letter it is two pieces
             counts[2] = counts[1] + self.prefixes(piece[1].encode())[-1]
-        return np.diff(counts)
-
-    def _kept(self, piece: str) -> bytes:
-        found = self._pieces_known[piece] = _packed(self._steps(piece))
+        found = self._pieces_known[piece] = array("h", map(int.__sub__, counts[1:], counts)).tobytes()
         return found
 
     def _chunk(self, text: str) -> bytes:
@@ -145,8 +167,11 @@ class PrefixCounter:
         for m in self._run.finditer(text):
             begin, end = m.span()
             before = int(counts[begin - 1]) if begin else 0
-            counts[begin:end] = before + np.cumsum(self._steps(m[0]))
-        return _packed(np.diff(counts, prepend=0))
+            counts[begin:end] = before + np.cumsum(np.frombuffer(self._kept(m[0]), np.int16), dtype=np.int64)
+        steps = np.diff(counts, prepend=0)
+        if np.abs(steps).max() > 32767:
+            raise OverflowError("a count changes by more than 32,767 with one character")
+        return steps.astype(np.int16).tobytes()
 
     def steps(self, text: str) -> bytes:
         """By how much the count changes with each character of a whole text, as 16-bit integers. Where
@@ -167,14 +192,23 @@ class PrefixCounter:
         return self._chunk(first) + b"".join(parts)
 
     def _new(self, chunk: str) -> bytes:
-        m = _WORD.match(chunk)
+        known, m = self._chunks, _WORD.match(chunk)
         if m is None:
             found = self._chunk(" " + chunk)
         else:
-            found = self._pieces_known.get(" " + m[1]) or self._kept(" " + m[1])
+            found = known.get(m[1])
+            if found is None:
+                found = known[m[1]] = self._word(m[1])
             if m[2]:
                 found += self._pieces_known.get(m[2]) or self._kept(m[2])
-        self._chunks[chunk] = found
+        known[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """The steps of a space and a word of letters, which is one piece."""
+        piece = " " + word
+        found = self._kept(piece)
+        del self._pieces_known[piece]  # it is kept as a chunk
         return found
 
     def _with_special(self, text: str) -> bytes:
