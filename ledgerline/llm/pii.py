@@ -2,7 +2,8 @@
 
 Plain patterns find the base spans, which always stay. Looser patterns propose further candidates
 (written-out addresses, other separators, numbers without a plus sign). Five labelers - pattern,
-shape, gazetteer, context words, surroundings - each vote yes, no or nothing on every candidate.
+shape, gazetteer, context words, surroundings - each vote yes, no or nothing on every candidate; what
+says nothing by its absence votes nothing.
 Expectation-maximisation over the counts of all vote patterns in the corpus estimates how reliable
 each labeler is for each kind, which gives every pattern a probability. A logistic model over hashed
 features of the span and its surroundings is trained on those probabilities, on at most SAMPLE
@@ -29,6 +30,8 @@ from ledgerline.llm.common import documents, materialize, schema_of, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates the span classifier is trained on at most, and the probability from which it adds one.
 SAMPLE, ACCEPT = 20_000, 0.9
+#: How often a labeler is taken to be right beforehand.
+BELIEF = 0.85
 FEATURES = 512
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -40,15 +43,17 @@ _DIGIT = re.compile(r"[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 _LOOSE = [
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}"), re.compile(r"\(at\)|\[at\]| at [A-Za-z0-9-]+ ?(?:dot|\(dot|\[dot) ")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)+"), re.compile(r"\(at\)|\[at\]| at [A-Za-z0-9-]+ ?(?:dot|\(dot|\[dot) ")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]|\[\.\]")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[. _/][0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"), _DIGIT),
     ("phone", re.compile(r"(?<![0-9+(])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"), _DIGIT),
 ]
+_SPELT = re.compile(r"\(at\)|\[at\]|dot[ )\]]")
 # Gazetteers.
+RESERVED = tuple("0. 127. 255. 10. 192.168. 0[ 127[ 255[ 10[".split())
 ENDINGS = frozenset("com org net edu gov int info biz io dev app de fr es it uk us eu ch at be nl pl se no fi dk pt ru cn jp in br ca au".split())
 ISSUERS = tuple("4 51 52 53 54 55 34 37 6011 65 35 36 38 30".split())
-PERSONAL = frozenset("mail email e-mail contact kontakt write phone tel telephone telefon call mobile fax card visa mastercard amex karte carte tarjeta payment credit ip address adresse host login from".split())
+PERSONAL = frozenset("mail email e-mail contact kontakt phone tel telephone telefon mobile fax card visa mastercard amex karte carte tarjeta payment credit ip address adresse host login".split())
 TECHNICAL = frozenset("version v isbn issn page pages id number no chapter order invoice build release line figure table".split())
 
 
@@ -86,18 +91,25 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [email, ip, card, phone]
 
 
+def _clear(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans in order, those that overlap none of those taken, in one sweep."""
+    out, at, reach, taken = [], 0, 0, sorted(taken)
+    for s, e in spans:
+        while at < len(taken) and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= s:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) of base and loose spans; loose ones overlap nothing."""
-    base = base_spans(text)
-    out = [(k, s, e, True) for k, spans in enumerate(base) for s, e in spans]
-    taken = sorted((s, e) for _, s, e, _ in out)
+    out = [(k, s, e, True) for k, spans in enumerate(base_spans(text)) for s, e in spans]
     for kind, pattern, hint in _LOOSE:
         if hint.search(text):
-            for m in pattern.finditer(text):
-                s, e = m.span()
-                if all(e <= a or b <= s for a, b in taken):
-                    taken.append((s, e))
-                    out.append((KINDS.index(kind), s, e, False))
+            found = _clear([m.span() for m in pattern.finditer(text)], [(s, e) for _, s, e, _ in out])
+            out += [(KINDS.index(kind), s, e, False) for s, e in found]
     return out
 
 
@@ -107,12 +119,12 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
     name = KINDS[kind]
     yes = lambda x: 2 if x else 1
     if name == "email":
-        shape = yes(len(span) <= 254)
+        shape = 1 if len(span) > 254 else 2 if _SPELT.search(span) or "@" in span else 0
         gazetteer = yes(re.split(r"[^A-Za-z]+", span.lower().rstrip(")]"))[-1] in ENDINGS)
     elif name == "ip":
         groups = re.split(r"[.\[\]:]+", span)
         shape = yes(len(groups) == 8 or len(groups) == 4 and all(g.isdigit() and int(g[:4]) <= 255 for g in groups))
-        gazetteer = yes(not span.startswith(("0.", "127.", "255.", "10.", "192.168.")))
+        gazetteer = 1 if span.startswith(RESERVED) else 0
     elif name == "card":
         shape = yes(13 <= len(digits) <= 19 and luhn(digits))
         gazetteer = yes(digits.startswith(ISSUERS))
@@ -122,14 +134,14 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
     near = set(re.findall(r"[^\W\d_][\w-]*", text[max(0, start - 40) : start].lower()))
     context = 2 if near & PERSONAL else 1 if near & TECHNICAL else 0
     beside = text[max(0, start - 1) : start] + text[end : end + 1]
-    around = 1 if any(c.isdigit() or c in "_/=#" for c in beside) else 2
+    around = 1 if any(c.isdigit() or c in "_/=#" for c in beside) else 0
     return (2 if base else 0, shape, gazetteer, context, around)
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[int]:
     """Hashed features of a span and its surroundings."""
     span = text[start:end]
-    shape = re.sub(r"[0-9]+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", span)))[:40]
+    shape = re.sub(r"[0-9]+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", span)))
     names = [f"k{kind}", f"s{kind}{shape}", f"n{kind}{len(_digits(span))}", f"l{kind}{min(len(span) // 4, 12)}", f"c{kind}{luhn(_digits(span) or '1')}"]
     names += [f"g{shape[i : i + 3]}" for i in range(len(shape) - 2)]
     names += [f"w{w}" for w in re.findall(r"\w+", text[max(0, start - 30) : start].lower())[-3:]]
@@ -151,9 +163,10 @@ def reliabilities(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int =
             bad = np.log(1 - prior) * np.ones(len(p))
             for j in range(seen.shape[1]):
                 m = said[:, j]
-                # a labeler is taken to be right more often than not
-                hit = np.clip(((weight * p)[m & yes[:, j]].sum() + 4) / ((weight * p)[m].sum() + 5), 0.5, 0.999)
-                miss = np.clip(((weight * (1 - p))[m & ~yes[:, j]].sum() + 4) / ((weight * (1 - p))[m].sum() + 5), 0.5, 0.999)
+                # what a labeler is taken for beforehand counts as much as a fifth of what it has voted on
+                held = 5 + weight[m].sum() / 5
+                hit = np.clip(((weight * p)[m & yes[:, j]].sum() + BELIEF * held) / ((weight * p)[m].sum() + held), 0.5, 0.999)
+                miss = np.clip(((weight * (1 - p))[m & ~yes[:, j]].sum() + BELIEF * held) / ((weight * (1 - p))[m].sum() + held), 0.5, 0.999)
                 good += np.where(m, np.log(np.where(yes[:, j], hit, 1 - hit)), 0)
                 bad += np.where(m, np.log(np.where(yes[:, j], 1 - miss, miss)), 0)
             p = 1 / (1 + np.exp(np.clip(bad - good, -50, 50)))
