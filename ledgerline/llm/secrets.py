@@ -1,14 +1,20 @@
 """Secrets: plain patterns, and a character convolutional network over every other candidate.
 
-Base spans always stay. Every other run of 16 or more secret-like characters that has a digit and a
-letter is a candidate; where base spans cover parts of a run, each part left over is one for itself. A small network written in numpy reads the candidate with its surrounding
+Base spans always stay. Every other run of 8 or more secret-like characters is a candidate, unless it is
+one plain word (letters of one case, or capitalised); where base spans cover parts of a run, each part
+left over is one for itself. A small network written in numpy reads the candidate with its surrounding
 context and gives a logit: learned character vectors, one convolution, pooled inside and outside the
 candidate. Candidates longer than the network's window are read whole, in overlapping windows, and
-the greatest probability counts. It is trained on labelled findings: a seeded generator's secrets and
-harmless strings in typical contexts, windows of long runs with and without a secret, and at most SAMPLE base findings of the corpus itself (those least by hash). On a
-held-out fifth the logits are calibrated, and the threshold is the highest that keeps the required
-recall there on the generator's secrets, on short ones and on those in long runs alike. Base findings
-of the corpus have no say in it, as they stay whatever the network says.
+the greatest probability counts.
+
+It is trained on labelled findings: a seeded generator's secrets and harmless strings in typical
+contexts, among them short ones, of which only those that the context names are secrets, and windows of
+long runs with and without a secret; and of the corpus itself at most SAMPLE base findings and as many
+candidates that a plain rule calls harmless (numbers, addresses, hosts, joined words), those least by
+hash. On a held-out fifth the logits are calibrated, and the threshold is the highest that keeps the
+required recall there on the generator's secrets, on each kind of them alike; short candidates have a
+threshold of their own. Base findings of the corpus have no say in it, as they stay whatever the network
+says; the recall on those held out is measured as base_recall.
 
 Cases: null and empty texts have no spans; an empty table gives an empty result; positions are code
 points; long texts are taken whole; repeated rows give repeated results; other columns are ignored.
@@ -36,8 +42,14 @@ WIDTH, VECTOR, KERNEL, FILTERS = BEFORE + INSIDE + AFTER, 12, 5, 24
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Runs that aren't one plain word, and what makes a run one.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?!(?:[A-Z]?[a-z]+|[A-Z]+)[.=-]*(?![A-Za-z0-9+/_.=-]))[A-Za-z0-9+/_.=-]{8,}")
+_WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)\Z")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Numbers and what is written with them, addresses and hosts, words joined by one sign each.
+_HARMLESS = re.compile(r"[0-9]+(?:[.:/_-][0-9]+)*\Z|(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|io)\Z|(?:[A-Z]?[a-z]+|[A-Z]+)(?:[./_=-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+\Z")
+#: Characters of a candidate at least, and of one that isn't short.
+LEAST, SHORT = 8, 16
 
 
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
@@ -49,8 +61,6 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 def candidates(text: str, taken: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Secret-like runs, without what only ends them and without the spans that are taken."""
-    if not _DIGIT.search(text):
-        return []
     out, taken, at = [], sorted(taken), 0
     for m in _RUN.finditer(text):
         begin, pieces = m.start(), []
@@ -61,8 +71,8 @@ def candidates(text: str, taken: list[tuple[int, int]] = ()) -> list[tuple[int,
                 break
             at += 1
         for s, e in [*pieces, (begin, m.end())]:
-            run = text[s:e].rstrip(".=-") if e - s >= 16 else ""
-            if len(run) >= 16 and _DIGIT.search(run) and _LETTER.search(run):
+            run = text[s:e].rstrip(".=-") if e - s >= LEAST else ""
+            if len(run) >= LEAST and not _WORD.match(run):
                 out.append((s, s + len(run)))
     return out
 
@@ -90,7 +100,7 @@ class Network:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
         self.p = {"vec": r.normal(0, 0.3, (97, VECTOR)), "conv": r.normal(0, 0.15, (KERNEL * VECTOR, FILTERS)), "bias": np.zeros(FILTERS), "out": r.normal(0, 0.2, 3 * FILTERS), "b": np.zeros(1)}
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.scale, self.shift, self.threshold, self.short_threshold = 1.0, 0.0, 0.5, 0.5
         at = np.arange(WIDTH - KERNEL + 1) + KERNEL // 2
         self.inner = (at >= BEFORE) & (at < BEFORE + INSIDE)
 
@@ -139,7 +149,8 @@ class Network:
 
     def fit(self, codes: np.ndarray, y: np.ndarray, epochs: int = 8, seed: int = 5, kinds: np.ndarray | None = None) -> Network:
         """Train on four fifths, calibrate and set the threshold on the rest: the highest that keeps the
-        recall on each of the kinds from 0 on. Kinds below 0 are what the network doesn't decide."""
+        recall on each of the kinds from 0 on, kind 2 being short candidates, which have their own. Kinds
+        below 0 are what the network doesn't decide (-1) or what only a rule calls harmless (-2)."""
         kinds = np.zeros(len(y), np.int64) if kinds is None else kinds
         r = np.random.default_rng(seed)
         order = r.permutation(len(y))
@@ -159,15 +170,23 @@ class Network:
             e = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -50, 50))) - target
             self.scale -= 0.05 * ((e * z).mean() + 0.05 * (self.scale - 1))
             self.shift -= 0.05 * (e.mean() + 0.05 * self.shift)
-        said = self.probability(codes[held])
-        good = [np.sort(said[(target == 1) & (kinds[held] == k)]) for k in np.unique(kinds[kinds >= 0])]
-        good = [g for g in good if len(g)]
-        self.threshold = min((float(g[int((1 - RECALL) * len(g))]) for g in good), default=0.5)
-        self.recall = min((float((g >= self.threshold).mean()) for g in good), default=1.0)
+        said, good = self.probability(codes[held]), {}
+        for k in np.unique(kinds[kinds >= 0]).tolist():
+            if len(found := np.sort(said[(target == 1) & (kinds[held] == k)])):
+                good[k] = found
+        least = lambda own: min((float(g[int((1 - RECALL) * len(g))]) for k, g in good.items() if own(k)), default=0.5)
+        self.threshold, self.short_threshold = least(lambda k: k != 2), least(lambda k: k == 2)
+        self.recall = min((float((g >= (self.short_threshold if k == 2 else self.threshold)).mean()) for k, g in good.items()), default=1.0)
+        base = said[(target == 1) & (kinds[held] == -1)]
+        self.base_recall = float((base >= self.threshold).mean()) if len(base) else 1.0
         return self
 
+    def accepts(self, found: list[bytes], sizes: list[int]) -> np.ndarray:
+        """Which candidates, as encode_all() gives them, are secrets."""
+        return self.greatest(found) >= np.where(np.array(sizes) < SHORT, self.short_threshold, self.threshold)
+
 
-def findings(n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def findings(n: int = 2800, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings of the generator: secrets and harmless strings, half each, in contexts."""
     r = np.random.default_rng(seed)
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -180,6 +199,8 @@ def findings(n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         lambda: "AKIA" + pick(lower.upper() + digits, 16),
         lambda: str(r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"])) + pick(every, int(r.integers(20, 40))),
         lambda: "eyJ" + pick(every, 20) + "." + pick(every, 30),
+        lambda: pick("0123456789ABCDEF", int(r.choice([24, 32, 40]))),
+        lambda: pick(lower + lower.upper(), int(r.integers(20, 40))),
     ]
     harmless = [
         lambda: words(3, "-") + f"-{r.integers(1, 99)}",
@@ -238,30 +259,73 @@ def long_findings(n: int = 1200, seed: int = 13) -> tuple[np.ndarray, np.ndarray
     return np.array(x), np.array(y)
 
 
-def trained(own: np.ndarray) -> Network:
-    """A network trained on the generator's findings and the codes of base findings."""
-    sets = [findings(), long_findings(), (own, np.ones(len(own)))]
-    kinds = np.repeat([0, 1, -1], [len(y) for _, y in sets])
+def short_findings(n: int = 3000, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled findings of 8 to 15 characters: mixed strings that the context names, a third of all; the
+    same strings in plain text, numbers, codes, joined and oddly written words, which are harmless."""
+    r = np.random.default_rng(seed)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda letters, k: "".join(r.choice(list(letters), k))
+    words = lambda k, sep: sep.join(pick("aeiourstnlmd", int(r.integers(3, 6))) for _ in range(k))
+
+    def mixed() -> str:
+        while True:
+            s = pick(lower + lower.upper() + digits, int(r.integers(8, 16)))
+            if _DIGIT.search(s) and re.search("[a-z]", s) and re.search("[A-Z]", s):
+                return s
+
+    harmless = [
+        lambda: words(2, "-")[:15], lambda: words(2, ".")[:15], lambda: pick(digits, int(r.integers(8, 16))), lambda: ".".join(str(r.integers(1, 255)) for _ in range(4)).ljust(8, "0")[:15],
+        lambda: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}", lambda: f"{pick(digits, 3)}-{pick(digits, 4)}", lambda: pick(lower.upper(), 2) + pick(digits, 6),
+        lambda: words(1, "").capitalize() + words(1, "").capitalize() + pick(lower, 2), lambda: pick(lower.upper(), 2) + words(2, "")[:9], lambda: f"{words(2, '')[:10]}.{pick(digits, 2)}",
+        lambda: f"v{r.integers(1, 20)}.{r.integers(10, 20)}.{r.integers(100, 999)}", lambda: f"{words(1, '')}_{words(1, '')}_{r.integers(0, 99)}"[:15].ljust(8, "a"), mixed,
+    ]
+    names = ["pwd is ", "pwd=", "passphrase ", "pass ", "key ", "api key ", "access key: ", "credentials ", "login admin ", "bearer ", "auth ", "private key "]
+    x, y = [], []
+    for i in range(n):
+        secret = i % 3 == 0
+        body = mixed() if secret else harmless[int(r.integers(len(harmless)))]()
+        lead = str(r.choice(names)) if secret else words(2, " ") + " "
+        text = words(2, " ") + " " + lead + body + str(r.choice([" ", "\n", ", ", ". "])) + words(2, " ")
+        start = text.rindex(body, 0, len(text))
+        x.append(encode(text, start, start + len(body)))
+        y.append(float(secret))
+    return np.array(x), np.array(y)
+
+
+def trained(own: np.ndarray, harmless: np.ndarray | None = None) -> Network:
+    """A network trained on the generator's findings, the codes of base findings and those of candidates
+    that are harmless by rule."""
+    harmless = np.zeros((0, WIDTH), np.uint8) if harmless is None else harmless
+    sets = [findings(), long_findings(), short_findings(), (own, np.ones(len(own))), (harmless, np.zeros(len(harmless)))]
+    kinds = np.repeat([0, 1, 2, -1, -2], [len(y) for _, y in sets])
     return Network().fit(*(np.concatenate(both) for both in zip(*sets, strict=True)), kinds=kinds)
 
 
-_FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("codes", pa.binary())]))
+_FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("codes", pa.binary())]))
 
 
 def _propose(docs: DataFrame) -> DataFrame:
-    """Base spans, and candidates (kind 3) in what they leave over, each with its characters."""
+    """Base spans, and candidates (kind 3) in what they leave over, each with its characters and what is
+    known of it: 1 a secret, 0 harmless by rule, -1 nothing."""
     schema = schema_of(("doc_id", pa.int64()), ("found", _FOUND))
 
+    def of_base(text: str, kind: int, s: int, e: int) -> dict:
+        at, known = s, 1
+        if kind == 0:  # the value alone, if it has what secrets have
+            value = _ASSIGN.match(text, s, e)[2]
+            at, known = e - len(value), 1 if len(value) >= LEAST and _DIGIT.search(value) and _LETTER.search(value) else -1
+        return {"kind": kind, "start": s, "end": e, "label": known, "codes": encode_all(text, at, e)}
+
     def one(text: str) -> list[dict]:
         base = [(k, s, e) for k, spans in enumerate(base_spans(text)) for s, e in spans]
-        more = [(3, s, e) for s, e in candidates(text, [(a, b) for _, a, b in base])]
-        return [{"kind": k, "start": s, "end": e, "codes": encode_all(text, s, e)} for k, s, e in base + more]
+        more = candidates(text, [(a, b) for _, a, b in base])
+        return [of_base(text, *x) for x in base] + [{"kind": 3, "start": s, "end": e, "label": 0 if _HARMLESS.match(text[s:e]) else -1, "codes": encode_all(text, s, e)} for s, e in more]
 
     def run(batches):
         for part in slices(batches):
             yield pa.record_batch([part.column(0), pa.array([one(t) for t in part.column(1).to_pylist()], _FOUND)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, found array<struct<kind:int,start:long,end:long,codes:binary>>")
+    return docs.mapInArrow(run, "doc_id long, found array<struct<kind:int,start:long,end:long,label:int,codes:binary>>")
 
 
 def _spell(spans: list[tuple[int, int, str]]) -> str:
@@ -269,20 +333,25 @@ def _spell(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]])))
 
 
+def _labelled(found: DataFrame, label: int) -> np.ndarray:
+    """The first windows of at most SAMPLE findings with a label, those least by hash."""
+    each = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").filter(F.col("label") == label)
+    rows = each.select(F.substring("codes", 1, WIDTH).alias("codes"), F.xxhash64("doc_id", "start", "kind").alias("o")).orderBy("o", "codes").limit(SAMPLE).collect()
+    return np.array([np.frombuffer(r["codes"], np.uint8) for r in rows], np.uint8).reshape(-1, WIDTH)
+
+
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex and base_sha256 of the base spans, and spans, all spans as
     kind:start:end. Spans that the network adds are of kind model; n_added counts them."""
     found = materialize(_propose(documents(df, id_col, text_col)), "candidates")
-    each = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
-    own = each.filter(F.col("kind").isin(1, 2)).select("codes", F.xxhash64("doc_id", "start", "kind").alias("o")).orderBy("o", "codes").limit(SAMPLE).collect()
-    network = trained(np.array([np.frombuffer(r["codes"], np.uint8, WIDTH) for r in own], np.uint8).reshape(-1, WIDTH))
+    network = trained(_labelled(found, 1), _labelled(found, 0))
     schema = schema_of(("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()))
 
     def run(batches):
         for part in slices(batches):
             lists = part.column(1).to_pylist()
-            open_ = [r["codes"] for rows in lists for r in rows if r["kind"] == 3]
-            said = iter(network.greatest(open_) >= network.threshold)
+            open_ = [r for rows in lists for r in rows if r["kind"] == 3]
+            said = iter(network.accepts([r["codes"] for r in open_], [r["end"] - r["start"] for r in open_]))
             out = []
             for rows in lists:
                 base = [(r["start"], r["end"], KINDS[r["kind"]]) for r in rows if r["kind"] < 3]
