@@ -5,7 +5,12 @@ target text over documents labelled good (at most SAMPLE of them, those least by
 log weight is the sum, over its n-grams, of the log ratio of the two models. Documents are drawn in
 proportion to their weights, without replacement, by Gumbel top-k: a Gumbel number is added to each
 log weight, and the k greatest stay. k is what independent draws would keep: the sum over documents
-of the chance that a Gumbel number lifts them over FLOOR.
+of the chance that a Gumbel number lifts them over a floor, which lies so that of documents as likely in
+target as in raw text one in a million goes.
+
+The ratios are of models that take n-grams for independent, so their scale is off. It is fitted on labels
+held out of the target, good and bad: log weights are divided by the temperature under which the chance
+of staying tells the two apart best.
 
 N-grams: words without case and the punctuation around them, each by two hashes of which the less
 telling ratio counts, so that a harmless word which shares one bucket with a bad one isn't held against
@@ -30,9 +35,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import U, claim, materialize, mix64, slices
 
-#: Target documents at most; buckets of words (twice) and of pairs; what log weights are multiplied by
-#: before sampling, and the floor that a Gumbel number must lift them over.
-SAMPLE, WORDS, PAIRS, SHARPNESS, FLOOR = 20_000, 1 << 17, 1 << 15, 4.0, -3.0
+#: Target documents and held-out labels at most; buckets of words (twice) and of pairs.
+SAMPLE, HELD, WORDS, PAIRS = 20_000, 5_000, 1 << 17, 1 << 15
+#: The share of documents of weight one that may go, and so the floor to be lifted over.
+LOST = 1e-6
+FLOOR = -float(np.log(-np.log(LOST)))
 #: Log ratios are moved this far towards 0, as small ones add up over a long text.
 SMALL = 0.5
 #: The likelihood-ratio statistic that chance alone is taken to reach; one in about 2,000 buckets does.
@@ -100,10 +107,14 @@ def log_weight(text: str, ratios: np.ndarray) -> float:
     return total
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of each bucket. Raw counts are over all rows of df."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("i")).distinct()
-    wanted = frozenset(r["i"] for r in good.orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect())
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, dict[int, bool]]:
+    """The log ratio of each bucket, and the labels held out (a fifth, by hash), good or not. Raw counts are
+    over all rows of df."""
+    said = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("i"), F.expr("quality = 1 and coalesce(toxic, 0) = 0").alias("good"))
+    said = said.groupBy("i").agg(F.min("good").alias("good")).withColumn("h", F.xxhash64("i"))
+    least = lambda df, n: df.orderBy("h", "i").limit(n).collect()
+    wanted = frozenset(r["i"] for r in least(said.filter("good and pmod(h, 5) != 0"), SAMPLE))
+    held = {r["i"]: r["good"] for r in least(said.filter("pmod(h, 5) = 0"), HELD)}
 
     def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -120,27 +131,41 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counts = rows.toPandas()  # one row per bucket, of a fixed number
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     raw[counts["b"]], target[counts["b"]] = counts["r"], counts["t"]
-    return log_ratios(raw, target)
+    return log_ratios(raw, target), held
+
+
+def temperature(weights: np.ndarray, good: np.ndarray) -> float:
+    """The temperature under which good documents stay and others go with the greatest likelihood, held back
+    towards 1, the ratio as it is: a factor of two away costs as much as every hundredth document being
+    one natural unit less likely."""
+    scales = np.exp(np.linspace(np.log(0.1), np.log(20), 200))
+    said = np.zeros(len(scales))
+    for i, a in enumerate(scales):
+        rate = np.exp(np.minimum(a * weights - FLOOR, 50))  # stays with chance 1 - exp(-rate)
+        said[i] = np.where(good, np.log(np.maximum(-np.expm1(-rate), 1e-12)), -rate.clip(max=25)).sum() - np.log2(a) ** 2 * len(weights) / 100
+    return float(1 / scales[int(said.argmax())]) if len(weights) else 1.0
 
 
-def _scored(df: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, keep: list[str], name: str, seed: int) -> DataFrame:
-    """The columns keep of df, with log_weight and the Gumbel key."""
+def _scored(df: DataFrame, ratios: np.ndarray, held: dict[int, bool], id_col: str, text_col: str, keep: list[str], name: str, seed: int) -> DataFrame:
+    """The columns keep of df, with the log weight, a Gumbel number and the held-out label."""
     fields = {f.name: f.dataType for f in df.schema}
     text = "_text"
     while text in keep:
         text += "_"
-    source = df.select(*(df[c] for c in keep), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(text), (F.xxhash64(F.lit(seed), df[id_col], df[text_col])).alias(text + "h"))
+    doc = df[id_col].cast("long").alias(text + "i")
+    source = df.select(*(df[c] for c in keep), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(text), F.xxhash64(F.lit(seed), df[id_col], df[text_col]).alias(text + "h"), doc)
 
     def run(batches):
+        n = len(keep)
         for part in slices(batches):
-            weights = np.array([log_weight(t, ratios) for t in part.column(len(keep)).to_pylist()])
-            u = (mix64(part.column(len(keep) + 1).to_numpy().view(U)) >> U(11)).astype(float) + 0.5
-            key = SHARPNESS * weights - np.log(-np.log(u / 2**53))
-            columns = [part.column(i) for i in range(len(keep))] + [pa.array(weights), pa.array(key)]
-            yield pa.record_batch(columns, names=[*keep, name + "w", name + "k"])
+            weights = np.array([log_weight(t, ratios) for t in part.column(n).to_pylist()])
+            u = (mix64(part.column(n + 1).to_numpy().view(U)) >> U(11)).astype(float) + 0.5
+            good = [held.get(i) for i in part.column(n + 2).to_pylist()]
+            columns = [part.column(i) for i in range(n)] + [pa.array(weights), pa.array(-np.log(-np.log(u / 2**53))), pa.array(good, pa.bool_())]
+            yield pa.record_batch(columns, names=[*keep, name + "w", name + "g", name + "y"])
 
     ddl = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{ddl}, {name}w double, {name}k double")
+    return source.mapInArrow(run, f"{ddl}, {name}w double, {name}g double, {name}y boolean")
 
 
 def kth_greatest(keys: DataFrame, column: str, k: int, most: int = 4096) -> float:
@@ -169,13 +194,18 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The rows that stay, with the columns keep (all of df's unless given), log_weight and key; these
     two have _ in front while such columns exist."""
     keep = list(df.columns) if keep is None else keep
-    ratios = fit(df, labels, id_col, text_col)
+    ratios, held = fit(df, labels, id_col, text_col)
     name = "_"
     while any(c.startswith(name) for c in keep):
         name += "_"
-    scored = materialize(_scored(df, ratios, id_col, text_col, keep, name, seed), "scored")
-    w, key = name + "w", name + "k"
-    chance = 1 - F.exp(-F.exp(F.least(SHARPNESS * F.col(w) - F.lit(FLOOR), F.lit(700.0))))
+    scored = materialize(_scored(df, ratios, held, id_col, text_col, keep, name, seed), "scored")
+    w, gumbel, label, key = (name + c for c in "wgyk")
+    # one row per label held out, and of rows that repeat an id no more than a label's share
+    told = scored.filter(F.col(label).isNotNull()).select(w, label).limit(4 * HELD).toPandas()
+    heat = temperature(told[w].to_numpy(float), told[label].to_numpy(bool))
+    calm = F.col(w) / heat
+    scored = scored.withColumn(key, calm + F.col(gumbel))
+    chance = 1 - F.exp(-F.exp(F.least(calm - F.lit(FLOOR), F.lit(700.0))))
     n, expected = scored.agg(F.count("*"), F.sum(chance)).first()
     k = min(n, round(expected or 0))
     if n == 0:
@@ -185,4 +215,4 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     else:
         stays = scored.filter(F.col(key) >= kth_greatest(scored.select(key), key, k))
     free = lambda c: c if c not in keep else free("_" + c)
-    return stays.withColumnsRenamed({w: free("log_weight"), key: free("key")})
+    return stays.drop(gumbel, label).withColumnsRenamed({w: free("log_weight"), key: free("key")})
