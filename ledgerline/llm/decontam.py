@@ -6,14 +6,13 @@ item of fewer words must be there whole). Whatever sifts before the alignment lo
 
 - An alignment of that score matches so many of the item's words that, whichever positions of the item
   are left out, a number of the others must match, and its passage is of bounded length. So an item is
-  looked for by its words that are rarest in a sample of the documents, common ones left out, and only
-  where the needed number of them stand close enough together. What the sample says changes the cost,
-  never the result.
+  looked for by its words that are rarest in the documents, common ones left out, and only where the
+  needed number of them stand close enough together. The counts change the cost, never the result.
 - A passage's words that the item has gain a match at most, all others cost a gap at least.
 
 Passages that pass are aligned, those of one item together.
 
-Nothing is shuffled but the counts of the sample. Items are taken in blocks of bounded size, each block
+Nothing is shuffled but the counts. Items are taken in blocks of bounded size, each block
 against all documents, so what is sent to the tasks is bounded whatever the benchmark's size. Long
 documents are read in pieces that overlap by more than an alignment's length.
 
@@ -31,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, schema_of, slices
+from ledgerline.llm.common import claim, documents, schema_of, slices
 
 #: Words of items in a block at most (beyond one item), and words in a row a copy's score needs at least.
 BLOCK_WORDS, N = 500_000, 3
 #: The share of an item's own score that makes a copy.
 SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: The share of documents whose words are counted, words in a piece of a document, pairs of a word and an item held at once.
-SAMPLED, PIECE, PAIRS = 1 / 32, 20_000, 2_000_000
+#: Words in a piece of a document, and pairs of a word and an item held at once.
+PIECE, PAIRS = 20_000, 2_000_000
 MEMO = 300_000
 _AROUND = string.punctuation + "«»„“”‘’…–—¿¡"
 
@@ -83,7 +82,8 @@ class Items:
 
     def reader(self):
         """A function from texts to word numbers, 0 for words of no item."""
-        vocabulary, memo = self.vocabulary, {}
+        vocabulary = self.vocabulary
+        claim("decontamination", lambda: None)  # what is known here goes with the task
 
         class Known(dict):
             def __missing__(self, chunk: str) -> int:
@@ -204,7 +204,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
 
 
 def _counts(docs: DataFrame, block: Items) -> np.ndarray:
-    """In how many documents of a sample each word of the block occurs. Each task adds up what it has read."""
+    """In how many documents each word of the block occurs. Each task adds up what it has read."""
 
     def run(batches):
         read, total = block.reader(), np.zeros(len(block.vocabulary) + 1, np.int64)
@@ -215,7 +215,7 @@ def _counts(docs: DataFrame, block: Items) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
     total = np.zeros(len(block.vocabulary) + 1, np.int64)
-    for r in docs.sample(SAMPLED, seed=1).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the block's words
+    for r in docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the block's words
         total[r["word"]] = r["n"]
     return total
 
