@@ -1,9 +1,9 @@
 """Packing of documents into training sequences: first-fit decreasing in randomised groups.
 
 A document's ids are those of the tokenizer, then an end id. It is cut at every full sequence; only
-its last piece shares one. Pieces are dealt to partitions by a hash of document and content, sorted
-by that hash, and cut into groups of at most GROUP pieces; each group is packed by itself, the
-longest piece first, each into the first bin with room, found by descent in a tournament tree whose
+its last piece shares one. Pieces are dealt to partitions by a hash of document, content and place in
+the input, sorted by that hash, and cut into groups of at most GROUP pieces; each group is packed by
+itself, the longest piece first, each into the first bin with room, found by descent in a tournament tree whose
 inner nodes hold the most room below them.
 
 Tokenizing works chunk by chunk, as white space separates and nothing merges across it; ids of chunks
@@ -147,7 +147,8 @@ def pack(cut: DataFrame, capacity: int = 2048, group: int = GROUP, seed: int = 7
     from pyspark import TaskContext
 
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")
+    # equal pieces of unnamed documents, which may be many, are told apart by their place
+    deal = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
     names = [c for c in cut.columns]
 
     def run(batches):
