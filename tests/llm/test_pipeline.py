@@ -1,11 +1,11 @@
 import os
-import re
 
 import helpers as H
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from ledgerline.llm import queries
+from ledgerline.llm import decontam, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,12 +42,55 @@ def test_near_dedup_stage_equals_brute_force(stages):
     assert set(texts(after)) == {d for d, (_, c) in want.items() if c == d}
 
 
-def test_decontamination_stage_drops_every_exact_copy(spark, stages):
+def copies(texts, items):
+    """Every text aligned with every item, and nothing sifted before."""
+    split, found = {d: decontam.words(t or "") for d, t in texts.items()}, set()
+    for i, item in items:
+        target = decontam.words(item or "")
+        number = {w: n for n, w in enumerate(dict.fromkeys(target), 1)}
+        if target:
+            scores = decontam.align(np.array([number[w] for w in target]), *(np.array([number.get(w, 0) for w in ws], np.int64) for ws in split.values()))
+            n = len(target)
+            found |= {(d, i) for d, score in zip(split, scores.tolist(), strict=True) if score >= max(n, 2 * min(n, 3))}
+    return found
+
+
+def test_decontamination_stage_equals_brute_force(spark, stages):
     before, after = stages["decontamination"]
-    plain = lambda t: " " + " ".join(w for w in (re.sub(r"^\W+|\W+$", "", c).lower() for c in t.split()) if w) + " "
-    items = [plain(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    copies = {d for d, t in texts(before).items() if any(i in plain(t) for i in items)}
-    assert copies and not copies & set(texts(after)) and len(texts(before)) - len(texts(after)) <= 2 * len(copies)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = copies(texts(before), items)
+    assert found and set(texts(after)) == set(texts(before)) - {d for d, _ in found}
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    every = texts(spark.read.parquet(f"{DATA}/documents.parquet"))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    assert {(r["doc_id"], r["item_id"]) for r in queries.op6_decontamination(spark, DATA).collect()} == copies(every, items)
+
+
+def test_quality_stage_keeps_clean_documents_and_drops_others(spark, stages):
+    before, after = stages["quality"]
+    kept = set(texts(after))
+    assert kept <= set(texts(before))
+    rows = spark.read.parquet(f"{DATA}/labels.parquet").collect()
+    clean = {r["doc_id"] for r in rows if r["quality"] == 1 and not r["toxic"]}
+    bad = {r["doc_id"] for r in rows} - clean
+    assert len(clean & kept) >= 0.99 * len(clean) and len(bad - kept) > 0
+    scored = {r["doc_id"]: r["key"] for r in queries.op4_quality(spark, DATA).collect()}
+    assert set(scored) == kept
+
+
+@pytest.mark.parametrize("rows", [H.odd_documents(), []])
+def test_stages_on_odd_tables(spark, rows):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and no rows at all."""
+    docs = H.frame(spark, rows).selectExpr("*", "cast(length(text) as int) n_chars", "1 as _w", "2 as key", "3 as log_weight", "4 as _kept", "5 as n_removed", "6 as n_lines", "7 as salt")
+    given = {r["doc_id"] for r in docs.collect()}
+    for name, stage in pipeline.STAGES:
+        before = docs
+        docs = pipeline.materialize(stage(spark, docs, DATA), name)
+        left = {r["doc_id"] for r in docs.collect()}
+        assert left <= given and (name == "packing" or docs.columns == before.columns)
+        assert name in ("quality", "near_dedup", "decontamination") or left == {r["doc_id"] for r in before.collect()}
 
 
 def test_packing_stage_holds_all_documents(stages):
