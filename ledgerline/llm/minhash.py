@@ -11,12 +11,12 @@ on the full sets.
 No bucket is expanded into all its pairs. First each member is paired with two hubs of its bucket
 (members least by key and by a hash of bucket and key, found by pre-aggregated minima); confirmed pairs
 are links, and links make components. Then buckets that still hold more than one component are finished:
-the members outside the bucket's main component are set against all members, and pairs of different
-components that pass finer odd sketches, made of more samples for these members alone, are confirmed
-too. A bucket too crowded for one block is first parted by bands of more of the finer samples, which
-members of similar texts still share; only what is crowded after two such levels is compared block by
-block. Pairs within a component need no look. So every link between candidates of any band is found or
-implied, for buckets of any size, and no block outgrows a task.
+the members outside the bucket's main component are set against all members, block by block, and pairs
+of different components that pass finer odd sketches, made of more samples for these members alone, are
+confirmed too. A bucket with very many members outside is first parted by bands of more of the finer
+samples, which members of similar texts still share. Pairs within a component need no look. So every
+link between candidates of any band is found or implied, for buckets of any size, and no block outgrows
+a task.
 
 With similarity s a band matches with probability s^r; at 0.85, r = 4 and 24 bands a link has no
 bucket in common with probability 2e-8, at 0.8 and 32 bands 5e-8. The further bands of crowded buckets
@@ -50,9 +50,10 @@ MEMO = 400_000
 SAMPLES, BITS = 128, 512
 FINE_SAMPLES, FINE_BITS = 2048, 8192
 ROWS = 4
-#: Members of a bucket in one block, by bands of how many of the finer samples the members of larger
-#: buckets are parted, level after level, and the share of links that the bands of a level may miss.
-BLOCK = 256
+#: Members of a bucket in one block; members outside the main component beyond which a bucket is parted,
+#: as all its blocks together would be larger; by bands of how many of the finer samples, level after
+#: level; and the share of links that the bands of a level may miss.
+BLOCK, CROWDED = 256, 16_384
 LEVELS, MISSED = (8, 12), 1e-7
 #: Standard deviations below the threshold at which sketches drop a pair.
 SPREAD = 5
@@ -210,22 +211,22 @@ def _sampled(texts: DataFrame, w: int, make, name: str, kind: str) -> DataFrame:
 
 def _later(shared: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, w: int, similarity: float) -> DataFrame:
     """Candidate pairs (a, b) of different components, from buckets that hold several; a written table.
-    Buckets of more than BLOCK members are parted by further bands, level after level; what is crowded
-    still after the last is set against one another in blocks. Pairs that several buckets hold come
-    from one of them."""
+    Buckets with more than CROWDED members outside their main component are parted by further bands, level
+    after level; what is crowded still after the last is set against one another in blocks all the same.
+    Pairs that several buckets hold come from one of them."""
     named = lambda df: df.join(labels.withColumnRenamed("label", "l"), "key", "left").withColumn("label", F.coalesce("l", "key")).drop("l")
     found, held, bands = [], [], classes.select("key", "bands")
     member = named(shared)
     for rows in (*LEVELS, None):
         sizes = member.groupBy("band", "label").agg(F.count("*").alias("n"))
-        buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+        buckets = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others")).filter("labels > 1").drop("labels")
         mixed = materialize(member.join(buckets, "band"), "mixed")
         fine = _sampled(texts.join(mixed.select("key").distinct(), "key"), w, lambda m: pa.array([s.tobytes() for s in odd_sketches(m, FINE_BITS)], pa.binary()), "fine", "binary")
         about = materialize(bands.join(fine, "key"), "fine")
-        small = mixed.filter(F.col("size") <= BLOCK) if rows else mixed
+        small = mixed.filter(F.col("others") <= CROWDED) if rows else mixed
         found.append(materialize(_compared(small, about, similarity), "near"))
         release(about, *held)
-        crowded = mixed.filter(F.col("size") > BLOCK).select("key").distinct()
+        crowded = mixed.filter(F.col("others") > CROWDED).select("key").distinct()
         if rows is None or crowded.isEmpty():
             release(mixed)
             break
