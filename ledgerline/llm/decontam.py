@@ -12,12 +12,14 @@ item of fewer words must be there whole). Whatever sifts before the alignment lo
 
 Passages that pass are aligned, those of one item together.
 
-Nothing is shuffled but the counts. Items are taken in blocks of bounded size, each block
-against all documents, so what is sent to the tasks is bounded whatever the benchmark's size. Long
-documents are read in pieces that overlap by more than an alignment's length.
+Nothing is shuffled but the counts. Items are taken in blocks of bounded size, each block against all
+documents, and what a block has found is written before the next, so what the driver holds and the tasks
+are sent is bounded whatever the benchmark's size. Long documents are read in pieces that overlap by
+more than an alignment's length.
 
 Cases: null and empty texts or items match nothing; words are compared without case and without
-punctuation around them; rows repeating an id are reported once per item; documents of any length are
+punctuation around them; an item of one or two words is in every document that has them in a row; rows
+repeating an id are reported once per item; documents of any length are
 read whole; empty tables give an empty result; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import claim, documents, schema_of, slices
+from ledgerline.llm.common import claim, documents, materialize, release, schema_of, slices
 
 #: Words of items in a block at most (beyond one item), and words in a row a copy's score needs at least.
 BLOCK_WORDS, N = 500_000, 3
@@ -227,6 +229,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """doc_id, item_id and score (from SHARE to 1) for each document and item it holds a copy of."""
     docs, out = documents(df, id_col, text_col), None
     for block in _blocks(items, item_id, item_text):
+        out = out if out is None else materialize(out, "found")
         block.choose(_counts(docs, block))
 
         def run(batches, block=block):
@@ -246,10 +249,15 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of df that hold no copy of any item, with all columns. The alignment runs where the
     rows are; none is shuffled."""
-    spark, schema, out = df.sparkSession, df.schema, df
+    schema, out, left = df.schema, df, None
     at = df.columns.index(text_col)
     docs = documents(df, id_col, text_col)
     for block in _blocks(items, names.get("item_id", "item_id"), names.get("item_text", "text")):
+        if out is not df:
+            before, out = left, materialize(out, "left")
+            left = out
+            if before is not None:
+                release(before)
         block.choose(_counts(docs, block))
 
         def run(batches, block=block):
