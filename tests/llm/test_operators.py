@@ -34,9 +34,12 @@ def test_near_duplicates_equal_brute_force(spark, w, num, bands):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_near_duplicates_of_one_crowded_bucket(spark, monkeypatch):
-    """Copies with ever more changes, so that hubs alone don't find all links; small blocks."""
+@pytest.mark.parametrize("crowded", [16_384, 5])
+def test_near_duplicates_of_one_crowded_bucket(spark, monkeypatch, crowded):
+    """Copies with ever more changes, so that hubs alone don't find all links; small blocks, and buckets
+    that are parted further."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
     r = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -395,6 +398,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     tests = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
     assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.contaminated(df, tests).collect()} == want
     assert {x["doc_id"] for x in decontam.drop_contaminated(df, tests).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 150)  # several blocks
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontam.contaminated(df, tests).collect()} == want
+    assert {x["doc_id"] for x in decontam.drop_contaminated(df, tests).collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
 # -- 7
