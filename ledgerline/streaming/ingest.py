@@ -14,12 +14,13 @@ from ledgerline.schema import DEL
 from ledgerline.store import Store
 
 
-def into_store(ops: DataFrame, store: Store, checkpoint: str, name: str = "ingest", **trigger) -> StreamingQuery:
+def into_store(ops: DataFrame, store: Store, checkpoint: str, name: str | None = None, **trigger) -> StreamingQuery:
     """Apply each micro-batch to the store. A batch delivered again after a crash is recognised by its
-    number and ignored; flush and compaction follow as for any batch."""
+    number and ignored; flush and compaction follow as for any batch. Numbers are those of the stream's
+    checkpoint, by which it is known to the store unless it has a name."""
 
     def write(batch: DataFrame, number: int) -> None:
-        store.apply(batch, token=f"{name}/{number}")
+        store.apply(batch, token=f"{name or checkpoint}/{number}")
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -177,10 +177,15 @@ def test_stream_is_idempotent_and_ordered_by_seq(spark, tmp_path):
     spark.createDataFrame(rows, OPS).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(OPS).parquet(str(tmp_path / "in"))
     with Store(spark, str(tmp_path / "s")) as store:
-        ingest.into_store(stream, store, str(tmp_path / "c")).awaitTermination()
+        ingest.into_store(stream, store, str(tmp_path / "c"), name="ingest").awaitTermination()
         assert held(store) == {b"b": b"1"}
-        store.apply(spark.createDataFrame(rows, OPS), token="ingest/0")
+        store.apply(spark.createDataFrame([(3, DEL, b"b", None)], OPS), token="ingest/0")
         assert held(store) == {b"b": b"1"} and store.stats()["seq"] == 2
+        # a stream of its own counts its batches anew
+        spark.createDataFrame([(4, PUT, b"c", b"2")], OPS).coalesce(1).write.parquet(str(tmp_path / "more"))
+        more = spark.readStream.schema(OPS).parquet(str(tmp_path / "more"))
+        ingest.into_store(more, store, str(tmp_path / "d")).awaitTermination()
+        assert held(store) == {b"b": b"1", b"c": b"2"}
 
 
 def test_keyed_state_ignores_late_operations(spark, tmp_path):
