@@ -68,16 +68,17 @@ def test_decontamination_query_equals_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in queries.op6_decontamination(spark, DATA).collect()} == copies(every, items)
 
 
-def test_quality_stage_keeps_clean_documents_and_drops_others(spark, stages):
-    before, after = stages["quality"]
-    kept = set(texts(after))
-    assert kept <= set(texts(before))
-    rows = spark.read.parquet(f"{DATA}/labels.parquet").collect()
+def test_quality_stage_keeps_clean_documents_and_drops_others(spark):
+    """On a table large enough for the models to tell them apart; on the smallest one all stay."""
+    data = DATA.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = set(texts(pipeline.quality(spark, docs, data)))
+    assert kept < set(texts(docs))
+    rows = spark.read.parquet(f"{data}/labels.parquet").collect()
     clean = {r["doc_id"] for r in rows if r["quality"] == 1 and not r["toxic"]}
     bad = {r["doc_id"] for r in rows} - clean
-    assert len(clean & kept) >= 0.99 * len(clean) and len(bad - kept) > 0
-    scored = {r["doc_id"]: r["key"] for r in queries.op4_quality(spark, DATA).collect()}
-    assert set(scored) == kept
+    assert len(clean & kept) >= 0.99 * len(clean) and len(bad - kept) >= 0.4 * len(bad)
+    assert {r["doc_id"] for r in queries.op4_quality(spark, data).collect()} == kept
 
 
 @pytest.mark.parametrize("rows", [H.odd_documents(), []])
