@@ -307,10 +307,8 @@ def repeated_ranges(df: DataFrame, length: int = 100, id_col: str = "doc_id", te
     single = found.select(*_TEXT, F.explode("anchors").alias("a")).select("a.h", *_TEXT, "a.at")
     # written first, so that the join has plain inputs and Spark can split a very common bucket
     counts = materialize(single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    shared = materialize(single.join(counts, "h"), "shared")
+    by_text = materialize(single.join(counts, "h").groupBy(*_TEXT).agg(F.collect_set(F.struct("at", "h", "n")).alias("shared")), "anchors")
     release(found, counts)
-    by_text = materialize(shared.groupBy(*_TEXT).agg(F.collect_set(F.struct("at", "h", "n")).alias("shared")), "anchors")
-    release(shared)
 
     joined = named.join(by_text, list(_TEXT))
     pick = lambda large: joined.withColumn("shared", F.filter("shared", lambda a: (a["n"] > LARGE) == F.lit(large))).filter(F.size("shared") > 0).select(*_TEXT, "text", "shared")
