@@ -26,6 +26,7 @@ read whole; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,8 @@ class Items:
         self.choose(np.zeros(len(self.vocabulary) + 1, np.int64))
 
     def choose(self, counts: np.ndarray) -> None:
-        """Per item the words to look for and how many of them any copy has, by the number of documents
-        each word occurs in; the number of items with it is added."""
+        """Per item the words to look for and how many of them any copy has, by how often each
+        word occurs in the documents; the number of items with it is added."""
         counts = counts.copy()
         for ws in self.words:
             counts[np.unique(ws)] += 1
@@ -206,15 +207,24 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
 
 
 def _counts(docs: DataFrame, block: Items) -> np.ndarray:
-    """In how many documents each word of the block occurs. Each task adds up what it has read."""
+    """How often each word of the block occurs in the documents. Each task adds up what it has read."""
 
     def run(batches):
-        read, total = block.reader(), np.zeros(len(block.vocabulary) + 1, np.int64)
+        total, seen = [0] * (len(block.vocabulary) + 1), Counter()
+
+        def add_up() -> None:
+            for chunk, n in seen.items():
+                total[block.vocabulary.get(chunk.strip(_AROUND).lower(), 0)] += n
+            seen.clear()
+
         for part in slices(batches):
             for text in part.column(1).to_pylist():
-                total[np.unique(read(text))] += 1
-        at = np.flatnonzero(total[1:]) + 1
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["word", "n"])
+                seen.update(text.split())
+            if len(seen) > MEMO:
+                add_up()
+        add_up()
+        at = [w for w in range(1, len(total)) if total[w]]
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array([total[w] for w in at], pa.int64())], names=["word", "n"])
 
     total = np.zeros(len(block.vocabulary) + 1, np.int64)
     for r in docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most the block's words
