@@ -7,8 +7,9 @@ itself, the longest piece first, each into the first bin with room, found by des
 inner nodes hold the most room below them.
 
 Tokenizing works chunk by chunk, as white space separates and nothing merges across it; ids of chunks
-and words are kept, and plain words go to the library's merging alone, without its normalisation. Texts
-with characters outside a plain range, or with special strings, go whole through the library.
+and words are kept, those met again longest, and plain chunks go to the library's merging alone, without
+its normalisation. Texts with characters outside a plain range, or with special strings, go whole through
+the library.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each for itself; a long
 text becomes many full sequences and a rest; ties fall to the smaller document; an empty table gives
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,13 +32,40 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import claim, documents, schema_of, slices
 from ledgerline.llm.token_counts import _byte_letters
 
-MEMO = 600_000
+#: Chunks and words that a worker keeps, about, and the characters of the longest.
+MEMO, LONGEST = 600_000, 128
 #: Pieces packed together at most.
 GROUP = 16_384
 #: Characters that normalisation leaves alone but for case, with the white space that separates.
 _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*\\Z")
-#: A word of such letters, and a mark after it, which is a piece by itself.
-_WORD = re.compile("([a-zß-öø-ÿ]+)([.,]?)\\Z")
+#: A lower-case chunk whose letters, digits and marks are as below, and the pieces it is split into.
+_CHUNK = re.compile("[!-~ß-öø-ÿ]+\\Z")
+_PIECES_OF = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+")
+
+
+class Known(dict):
+    """What make gives for a chunk, kept under it once it was asked for twice; before, it is among the
+    new, which go first when there are too many."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.new = make, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.new.pop(chunk, None)
+        if found is not None:
+            self[chunk] = found
+        else:
+            found = self.make(chunk)
+            if len(chunk) <= LONGEST:
+                self.new[chunk] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > MEMO * 2 // 3:
+            self.new = dict(self)
+            self.clear()
+        elif len(self) + len(self.new) > MEMO:
+            self.new = {}
 
 
 class Ids:
@@ -48,34 +77,29 @@ class Ids:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self._chunk)
         self.letters = [c for _, c in sorted((b, c) for c, b in _byte_letters().items())]
         self.merge = self.library.model.tokenize
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a lower-case word or mark, kept under the word."""
-        found = self.known.get(word)
-        if found is None:
-            spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            found = self.known[word] = np.array([t.id for t in self.merge(spelt)], "<u4").tobytes()
-        return found
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))]
+
+    def _chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if not _CHUNK.match(low):
+            return self._encode([chunk])[0]
+        split = _PIECES_OF.findall(low)
+        if split != [chunk]:
+            return b"".join([self.known[piece] for piece in split])
+        spelt = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+        return b"".join([self.bytes_of[t.id] for t in self.merge(spelt)])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.split() if _PLAIN.match(t) and not any(s in t for s in self.special) else None for t in texts]
-        if len(self.known) > MEMO:
-            self.known.clear()
-        known = self.known
-        hard = []
-        for chunk in {c for cs in chunks if cs for c in cs if c not in known}:
-            if m := _WORD.match(chunk.lower()):
-                known[chunk] = self._word(m[1]) + self._word(m[2]) if m[2] else self._word(m[1])
-            else:
-                hard.append(chunk)
-        known.update(zip(hard, self._encode(hard), strict=True))
-        return [(b"".join(map(known.__getitem__, cs)) if cs is not None else self._encode([t])[0]) + self.end for cs, t in zip(chunks, texts, strict=True)]
+        self.known.trim()
+        ids = self.known.__getitem__
+        plain = [bool(_PLAIN.match(t)) and not any(s in t for s in self.special) for t in texts]
+        return [(b"".join(map(ids, t.split())) if p else self._encode([t])[0]) + self.end for p, t in zip(plain, texts, strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -443,6 +443,28 @@ def test_packing_holds_every_id_once(spark, empty):
     assert packing.pack(packing.pieces(empty, path)).count() == 0
 
 
+@pytest.mark.parametrize("memo", [300, 20])
+def test_packing_keeps_the_ids_of_common_words(monkeypatch, memo):
+    """Rare words don't drive common ones out, marks and digits don't go whole through the library."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "MEMO", memo)
+    path = vocabulary("word_bpe_49k.json")
+    tok, ids, r, merged, whole = Tokenizer.from_file(path), packing.Ids(path, 1), random.Random(11), [], []
+    merge, encode = ids.merge, ids._encode
+    ids.merge, ids._encode = lambda w: merged.append(w) or merge(w), lambda texts: whole.extend(texts) or encode(texts)
+    common = ["the", "The", "don't", "'sword", "été***", '"Ça,"', "12,5", "x'LL'", "a.b@c-d", "'\"s"]
+    for _ in range(30):
+        texts = [" ".join(r.sample(common, 10) + ["".join(r.choices("abcdeé", k=9)) for _ in range(20)]) for _ in range(4)]
+        want = [np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+        assert ids.all(texts) == want
+    assert whole == []
+    assert memo == 20 or max(merged.count(w) for w in ("the", "don", "sword", "1")) == 1
+    long = "ab" * 5000
+    assert ids.all([f"{long} the {long}"]) == [np.array([*tok.encode(f"{long} the {long}", add_special_tokens=False).ids, 1], "<u4").tobytes()]
+    assert long not in {**ids.known, **ids.known.new}
+
+
 # -- 8
 
 def test_token_counts_equal_the_library(spark, empty):
