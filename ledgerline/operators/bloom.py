@@ -7,9 +7,12 @@ in NumPy, which SQL's does not.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ SPREAD, FINISH = U(0x9E3779B97F4A7C15), U(0xFF51AFD7ED558CCD)
 BLOCK_BITS, PROBES = 512, 8
 #: Blocks in a segment of a filter that is built, and bytes of segments a task holds.
 SEGMENT, HELD = 1 << 14, 64 << 20
+#: Pairs of a key and a run in an Arrow batch.
+PAIRS = 16_384
 
 
 def n_blocks(keys: int, rate: float = 0.01) -> int:
@@ -138,9 +143,42 @@ def probe(pairs: DataFrame, filters: DataFrame, salts: int = 8) -> DataFrame:
     return dealt.mapInPandas(run, "key binary, run long, hit boolean")
 
 
-def prune(keys: DataFrame, filters: DataFrame) -> DataFrame:
+def prune(keys: DataFrame, filters: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """The (key, run) pairs worth reading: runs whose filter may hold the key. The pairs are a stated set
-    of keys against all runs."""
+    of keys against all runs; with the runs' ranges (run, smallest_key, largest_key) only against those
+    whose range holds the key, at most one where ranges are disjoint."""
+    if ranges is not None:
+        return probe(in_range(keys, ranges), filters).filter("hit").select("key", "run")
     runs = sorted(r["run"] for r in filters.select("run").collect())  # one number per run
     pairs = keys.select("key", F.explode(F.array(*(F.lit(r).cast("long") for r in runs))).alias("run")) if runs else keys.select("key", F.lit(0).cast("long").alias("run")).limit(0)
     return probe(pairs, filters).filter("hit").select("key", "run")
+
+
+def in_range(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each key with the runs whose range of keys, ends included, holds it: key, run. Runs go by their
+    least keys; those before the first that reaches up to a key are never looked at."""
+    ends = ranges.select(F.col("run").cast("long"), F.col("smallest_key").cast("binary"), F.col("largest_key").cast("binary"))
+    rows = sorted((bytes(r[1]), bytes(r[2]), r[0]) for r in ends.collect() if r[1] is not None)  # one row per run
+    lows, highs, runs = ([r[i] for r in rows] for i in range(3))
+    reach = list(accumulate(highs, max))
+
+    def held(batches):
+        for batch in batches:
+            found, which = [], []
+            for key in batch.column(0).to_pylist():
+                if key is None:
+                    continue
+                last = bisect_right(lows, key)
+                for i in range(bisect_left(reach, key, 0, last), last):
+                    if highs[i] >= key:
+                        found.append(key)
+                        which.append(runs[i])
+                if len(found) >= PAIRS:
+                    yield pairs(found, which)
+                    found, which = [], []
+            yield pairs(found, which)
+
+    def pairs(found: list[bytes], which: list[int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(found, pa.binary()), pa.array(which, pa.int64())], names=["key", "run"])
+
+    return keys.select(F.col("key").cast("binary")).mapInArrow(held, "key binary, run long")

@@ -188,10 +188,12 @@ def filter_rate(spark, sf_dir):
 
 
 def filtered_read(spark, sf_dir):
-    """Keys to the runs whose filter lets them pass, and only those are read for them."""
+    """Keys to the runs whose range holds them and whose filter lets them pass, and only those are read
+    for them."""
     entries = part_entries(spark, sf_dir)
     keys = entries.filter(F.col("seq") % 5 == 0).select("key").unionAll(customer_keys(spark, sf_dir))
-    worth = bloom.prune(keys, bloom.build_filters(entries))
+    ranges = resolve.run_statistics(entries)
+    worth = bloom.prune(keys, bloom.build_filters(entries), ranges)
     return _shown(worth.join(entries, ["run", "key"]).select("run", "key", "value"))
 
 

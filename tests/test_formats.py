@@ -176,3 +176,25 @@ def test_damaged_run_files_are_refused(tmp_path):
             f.write(bad)
         with pytest.raises(ValueError):
             run_file.RunFile(path)
+
+
+def test_keys_meet_only_runs_whose_range_holds_them(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "PAIRS", 2)
+    ranges = spark.createDataFrame([(1, b"b", b"d"), (2, b"e", b"e"), (3, b"c", b"\xff"), (4, b"a", b"a"), (5, None, None)], "run long, smallest_key binary, largest_key binary")
+    keys = spark.createDataFrame([(k,) for k in (b"", b"a", b"b", b"c", b"d", b"d\x00", b"e", b"e", b"\xff", b"\xff\x00", None)], "key binary")
+    got = sorted((bytes(r["key"]), r["run"]) for r in bloom.in_range(keys, ranges).collect())
+    assert got == [(b"a", 4), (b"b", 1), (b"c", 1), (b"c", 3), (b"d", 1), (b"d", 3), (b"d\x00", 3), (b"e", 2), (b"e", 2), (b"e", 3), (b"e", 3), (b"\xff", 3)]
+    assert bloom.in_range(keys, ranges.limit(0)).count() == 0
+
+
+def test_filtered_read_asks_no_run_that_cannot_hold_the_key(spark, monkeypatch):
+    from store_helpers import DATA
+
+    from ledgerline.plans import catalog
+
+    asked, probe = [], bloom.probe
+    monkeypatch.setattr(catalog, "RUN_OPS", 20)
+    monkeypatch.setattr(bloom, "probe", lambda pairs, filters: (asked.append(pairs), probe(pairs, filters))[1])
+    got = catalog.filtered_read(spark, DATA)
+    parts = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey % 5 = 0").count()
+    assert got.count() == parts and asked[0].count() == parts
