@@ -315,10 +315,15 @@ def store_stats(spark, sf_dir):
 
 
 def _event_files(spark, sf_dir, parts: int) -> DataFrame:
-    """The events' operations as a stream of as many files."""
-    folder = files.scratch(spark, "in")
-    event_ops(spark, sf_dir).repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(folder)
-    return spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).parquet(folder)
+    """The events' operations as a stream of as many files, in order of seq. A stream takes files by the
+    time they were written, and by name where times are equal, so each is written after the one before."""
+    folder, ops = files.scratch(spark, "in"), event_ops(spark, sf_dir)
+    cuts = ops.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)])).first()[0] or []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = ops if low is None else ops.filter(F.col("seq") > low)
+        part = part if high is None else part.filter(F.col("seq") <= high)
+        part.repartition(1).sortWithinPartitions("seq").write.parquet(f"{folder}/{i:03d}")
+    return spark.readStream.schema(OPS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 
 def stream_snapshot(spark, sf_dir):

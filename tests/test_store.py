@@ -217,3 +217,16 @@ def test_shell(spark, tmp_path):
     text = "\n".join(said)
     assert "OK k => a value" in text and "FOUND k => a value" in text and "NOT FOUND k" in text and "DELETED k" in text
     assert "Usage: put" in text and "Usage: get" in text and "FLUSHED" in text and "runs: 1" in text and "Unknown command: what" in text and "Closing." in text
+
+
+def test_streamed_files_come_in_order_of_seq(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerline.plans import catalog
+
+    monkeypatch.setattr(catalog.files, "scratch", lambda spark, name: str(tmp_path / name))
+    catalog._event_files(spark, "/root/testdata/sf0.01", 6)
+    written = spark.read.schema(OPS).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = written.groupBy("_metadata.file_path").agg(F.max("_metadata.file_modification_time").alias("at"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("low").collect()
+    assert len(got) == 6
+    assert all(a["high"] < b["low"] and a["at"] < b["at"] for a, b in zip(got, got[1:], strict=False))
