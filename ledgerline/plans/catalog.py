@@ -201,9 +201,10 @@ def order_check(spark, sf_dir):
     return blocks.out_of_order(event_ops(spark, sf_dir).withColumn("run", F.floor(F.col("seq") / RUN_OPS).cast("long")))
 
 
-def _bad_logs(spark, sf_dir):
+def _bad_logs(spark, sf_dir, read: Callable, schema: str) -> DataFrame:
     """The events as logs of 1,000 records each, of which some are damaged: a changed byte, a length beyond
-    the end, a type that isn't known under a good checksum, a type that is cleared."""
+    the end, a type that isn't known under a good checksum, a type that is cleared. A log is read where it
+    is joined, so a task holds one at a time, however many it has."""
     import pyarrow as pa
 
     ops = event_ops(spark, sf_dir)
@@ -216,25 +217,26 @@ def _bad_logs(spark, sf_dir):
     def joined(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
         name = f"{table.column('log')[0].as_py():08d}"
-        return pa.table({"name": [name], "data": pa.array([b"".join(table.column("record").to_pylist())], pa.binary())})
+        data = pa.record_batch({"name": [name], "data": pa.array([b"".join(table.column("record").to_pylist())], pa.binary())})
+        return pa.Table.from_batches(read([data]))
 
-    return records.groupBy("log").applyInArrow(joined, "name string, data binary")
+    return records.groupBy("log").applyInArrow(joined, schema)
 
 
 def log_recovery(spark, sf_dir):
     """What recovery accepts of damaged logs, resolved."""
-    back = _bad_logs(spark, sf_dir).mapInArrow(log.decode_batches, log.RECOVERED)
+    back = _bad_logs(spark, sf_dir, log.decode_batches, log.RECOVERED)
     return _shown(resolve.snapshot(log.replay(back)))
 
 
 def log_replay(spark, sf_dir):
     """What recovery accepts of damaged logs, numbered in order of logs and places."""
-    back = _bad_logs(spark, sf_dir).mapInArrow(log.decode_batches, log.RECOVERED)
+    back = _bad_logs(spark, sf_dir, log.decode_batches, log.RECOVERED)
     return _shown(log.replay(back, after=100), "key", "value")
 
 
 def log_damage(spark, sf_dir):
-    return log.warnings(_bad_logs(spark, sf_dir)).select(F.col("file").cast("long").alias("log"), "outcome", "places")
+    return log.counted(_bad_logs(spark, sf_dir, log.warned_batches, log.WARNED)).select(F.col("file").cast("long").alias("log"), "outcome", "places")
 
 
 def _event_runs(spark, sf_dir):

@@ -23,9 +23,10 @@ from ledgerline.schema import DEL, PUT
 
 #: A log beyond this many bytes is refused.
 MAX_BYTES = 1 << 30
-#: Records in an Arrow batch.
-BATCH = 16_384
+#: Records in an Arrow batch, and bytes of keys and values after which it is closed.
+BATCH, BATCH_BYTES = 16_384, 16 << 20
 RECOVERED = "file string, offset long, op byte, key binary, value binary"
+WARNED = "file string, outcome string, offset long"
 #: Outcomes of recovery at a place.
 VALID, PADDING, SHORT, LENGTHS, CHECKSUM, TYPE = "valid", "padding", "short", "lengths", "checksum", "type"
 
@@ -64,7 +65,7 @@ def encode(op: int, key: bytes, value: bytes | None) -> bytes:
     return plain + bytes(-len(plain) % ALIGN)
 
 
-def walk(data: bytes) -> Iterator[tuple[int, int, int, int, str]]:
+def walk(data: bytes | memoryview) -> Iterator[tuple[int, int, int, int, str]]:
     """What recovery makes of each place it looks at: offset, type, end of the key and of the value, and
     the outcome. After anything but a valid record it goes on at the next 512-byte step."""
     if len(data) > MAX_BYTES:
@@ -93,11 +94,11 @@ def walk(data: bytes) -> Iterator[tuple[int, int, int, int, str]]:
         at = (at // ALIGN + 1) * ALIGN
 
 
-def decode(data: bytes) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+def decode(data: bytes | memoryview) -> Iterator[tuple[int, int, bytes, bytes | None]]:
     """(offset, op, key, value) of the records that recovery accepts."""
     for at, kind, key_end, end, outcome in walk(data):
         if outcome is VALID:
-            yield at, kind, data[at + 9 : key_end], data[key_end:end] if kind == PUT else None
+            yield at, kind, bytes(data[at + 9 : key_end]), bytes(data[key_end:end]) if kind == PUT else None
 
 
 def write_log(path: str, ops: Iterable[tuple[int, bytes, bytes | None]]) -> None:
@@ -136,17 +137,24 @@ def recover(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], RECOVERED) if logs is None else logs.mapInArrow(decode_batches, RECOVERED)
 
 
+def _each(batches) -> Iterator[tuple[str, bytes | memoryview]]:
+    """The names and bytes of logs in Arrow batches, one at a time and not copied."""
+    for batch in batches:
+        for name, data in zip(batch.column(0), batch.column(1), strict=True):
+            yield name.as_py(), memoryview(data.as_buffer()).cast("B") if data.is_valid else b""
+
+
 def decode_batches(batches):
     """Arrow batches of a name and a log's bytes, as batches of the accepted records."""
-    for batch in batches:
-        for name, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-            data, records = data or b"", []
-            for record in decode(data):
-                records.append(record)
-                if len(records) == BATCH:
-                    yield _records(name, records)
-                    records = []
-            yield _records(name, records)
+    for name, data in _each(batches):
+        records, held = [], 0
+        for record in decode(data):
+            records.append(record)
+            held += len(record[2]) + len(record[3] or b"")
+            if len(records) == BATCH or held >= BATCH_BYTES:
+                yield _records(name, records)
+                records, held = [], 0
+        yield _records(name, records)
 
 
 def _records(name, rows: list) -> pa.RecordBatch:
@@ -155,18 +163,22 @@ def _records(name, rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["file", "offset", "op", "key", "value"])
 
 
+def warned_batches(batches):
+    """Arrow batches of a name and a log's bytes, as batches of the places recovery warns of."""
+    for name, data in _each(batches):
+        met = [(w[4], w[0]) for w in walk(data) if w[4] in (LENGTHS, CHECKSUM, TYPE)]
+        yield pa.record_batch([pa.array([name] * len(met), pa.string()), pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.int64())], names=["file", "outcome", "offset"])
+
+
 def warnings(logs: DataFrame) -> DataFrame:
     """What recovery warns of in logs (a name and the bytes): per log the outcome (lengths, checksum or
     type), at how many places it was met, and the first of them: file, outcome, places, first_offset.
     Padding and a tail too short for lengths are passed over in silence."""
+    return counted(logs.mapInArrow(warned_batches, WARNED))
 
-    def run(batches):
-        for batch in batches:
-            for name, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                met = [(w[4], w[0]) for w in walk(data or b"") if w[4] in (LENGTHS, CHECKSUM, TYPE)]
-                yield pa.record_batch([pa.array([name] * len(met), pa.string()), pa.array([m[0] for m in met], pa.string()), pa.array([m[1] for m in met], pa.int64())], names=["file", "outcome", "offset"])
 
-    met = logs.mapInArrow(run, "file string, outcome string, offset long")
+def counted(met: DataFrame) -> DataFrame:
+    """Warned places (file, outcome, offset) as warnings() shows them."""
     return met.groupBy("file", "outcome").agg(F.count("*").alias("places"), F.min("offset").alias("first_offset"))
 
 

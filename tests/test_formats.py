@@ -198,3 +198,33 @@ def test_filtered_read_asks_no_run_that_cannot_hold_the_key(spark, monkeypatch):
     got = catalog.filtered_read(spark, DATA)
     parts = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey % 5 = 0").count()
     assert got.count() == parts and asked[0].count() == parts
+
+
+def test_logs_of_a_batch_are_held_one_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    data = b"".join(log.encode(PUT, b"k%d" % i, b"v") for i in range(1000))
+    batch = pa.record_batch({"name": [f"{i}" for i in range(41)], "data": pa.array([data] * 40 + [None], pa.binary())})
+    for read, rows in ((log.decode_batches, 40_000), (log.warned_batches, 0)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in read([batch])) == rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * len(data)
+    monkeypatch.setattr(log, "BATCH_BYTES", 100)
+    assert max(b.num_rows for b in log.decode_batches([batch.slice(0, 1)])) <= 100 // 3
+
+
+@pytest.mark.parametrize("name", ["log_replay"])
+def test_damaged_logs_are_read_where_they_are_joined(spark, monkeypatch, name):
+    from store_helpers import DATA
+
+    from ledgerline.plans import catalog
+
+    plans, replay = [], log.replay
+    monkeypatch.setattr(log, "replay", lambda df, *a, **b: (plans.append(df), replay(df, *a, **b))[1])
+    plans.append(catalog.queries()[name](spark, DATA))
+    plan = plans[0]._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan
