@@ -217,7 +217,7 @@ def test_logs_of_a_batch_are_held_one_at_a_time(monkeypatch):
     assert max(b.num_rows for b in log.decode_batches([batch.slice(0, 1)])) <= 100 // 3
 
 
-@pytest.mark.parametrize("name", ["log_replay"])
+@pytest.mark.parametrize("name", ["log_recovery", "log_replay", "log_damage"])
 def test_damaged_logs_are_read_where_they_are_joined(spark, monkeypatch, name):
     from store_helpers import DATA
 
